@@ -1,0 +1,53 @@
+"""Runs registered queries beside their SQL in DuckDB."""
+
+import datetime
+import decimal
+import math
+import time
+from collections import Counter
+from pathlib import Path
+
+import duckdb
+
+DATA = Path("/root/testdata")
+
+
+def duck(sf_dir: Path) -> duckdb.DuckDBPyConnection:
+    con = duckdb.connect()
+    for p in sorted(sf_dir.glob("*.parquet")):
+        con.execute(f"CREATE VIEW {p.stem} AS SELECT * FROM read_parquet('{p if p.is_file() else p / '*.parquet'}')")
+    return con
+
+
+def plain(value):
+    if isinstance(value, float):
+        return "NaN" if math.isnan(value) else round(value, 9)
+    if isinstance(value, decimal.Decimal):
+        return float(value) if value != int(value) else int(value)
+    if isinstance(value, datetime.datetime):
+        return value.replace(tzinfo=None)
+    if isinstance(value, list):
+        return tuple(map(plain, value))
+    return value
+
+
+def multiset(names, rows) -> Counter:
+    order = sorted(range(len(names)), key=lambda i: names[i])
+    return Counter(tuple(plain(r[i]) for i in order) for r in rows)
+
+
+def differences(spark, name, call, sql, sf_dir: Path) -> str:
+    """Empty if the query and its SQL agree."""
+    t = time.time()
+    df = call(spark, str(sf_dir))
+    got = multiset(df.columns, df.collect())
+    took = time.time() - t
+    cur = duck(sf_dir).execute(sql)
+    names = [d[0] for d in cur.description]
+    want = multiset(names, cur.fetchall())
+    if sorted(names) != sorted(df.columns):
+        return f"{name}: columns {sorted(df.columns)} and {sorted(names)}"
+    if got != want:
+        return f"{name}: {sum(got.values())} and {sum(want.values())} rows; only here {list((got - want).items())[:4]}; only in SQL {list((want - got).items())[:4]}"
+    print(f"{name}: {sum(got.values())} rows, {took:.1f} s")
+    return ""
