@@ -1,0 +1,69 @@
+import random
+from collections import Counter
+
+import pytest
+from pyspark.sql import functions as F
+
+from quernel.operators.key_chunks import KeyOffsets, _stable, chunked_aggregate, heavy_keys
+
+
+def rows_of(r, n):
+    keys = ["hot"] * 6 + [None, "", "b"]
+    return [(r.choice([*keys, f"k{r.randrange(n)}"]), r.choice([None, r.randrange(100)])) for _ in range(n)]
+
+
+@pytest.fixture(scope="module")
+def table(spark, tmp_path_factory):
+    rows = rows_of(random.Random(2), 3000)
+    path = str(tmp_path_factory.mktemp("t") / "t")
+    spark.createDataFrame(rows, "key string, v long").repartition(7).write.parquet(path)
+    return rows, spark.read.parquet(path)
+
+
+def test_positions_are_a_permutation_in_key_order(table):
+    rows, df = table
+    numbered = KeyOffsets(df, ["key"]).number(100).collect()
+    assert sorted(r._pos for r in numbered) == list(range(len(rows)))
+    in_order = [r.key for r in sorted(numbered, key=lambda r: r._pos)]
+    assert in_order == sorted((k for k, _ in rows), key=lambda k: (k is not None, k or ""))
+    assert set(Counter(r._chunk for r in numbered).values()) == {100}
+    assert Counter((r.key, r.v) for r in numbered) == Counter(rows)
+
+
+@pytest.mark.parametrize("chunk", [1, 37, 1000, 10**9])
+def test_aggregate_equals_group_by(table, chunk):
+    rows, df = table
+    got = chunked_aggregate(df, ["key"], {"n": F.count(F.lit(1)), "s": F.sum("v")}, {"n": F.sum("n"), "s": F.sum("s"), "chunks": F.count_distinct("_chunk")}, chunk).collect()
+    want = {r.key: (r.n, r.s) for r in df.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.sum("v").alias("s")).collect()}
+    assert {r.key: (r.n, r.s) for r in got} == want and len(got) == len(want)
+    hot = next(r for r in got if r.key == "hot")
+    assert hot.chunks >= min(len(rows), hot.n) // chunk if chunk < 10**9 else hot.chunks == 1
+
+
+def test_several_keys_and_ordered_states(spark):
+    df = spark.createDataFrame([("a", None, i) for i in range(50)] + [("a", 1, 3), (None, 1, 4), ("b", 1, 5)] * 2, "x string, y int, _chunk int").withColumnRenamed("_chunk", "v")
+    got = {(r.x, r.y): (r.n, r.chunk) for r in chunked_aggregate(df, ["x", "y"], {"n": F.count(F.lit(1))}, {"n": F.sum("n"), "chunk": F.min_by("_chunk", "_chunk")}, 10).collect()}
+    assert {k: n for k, (n, _) in got.items()} == {("a", None): 50, ("a", 1): 2, (None, 1): 2, ("b", 1): 2}
+    assert got[None, 1][1] == 0 and got["b", 1][1] == 5
+
+
+def test_empty_table_and_clashing_names(spark):
+    empty = spark.createDataFrame([], "key string, v long")
+    assert chunked_aggregate(empty, ["key"], {"n": F.count(F.lit(1))}, {"n": F.sum("n")}).collect() == []
+    clash = spark.createDataFrame([("a", 1, 2), ("a", 1, 3)], "key string, _pos long, _chunk long")
+    assert [r.n for r in chunked_aggregate(clash, ["key"], {"n": F.count(F.lit(1))}, {"n": F.sum("n")}).collect()] == [2]
+    with pytest.raises(ValueError):
+        KeyOffsets(empty, [])
+    with pytest.raises(ValueError):
+        KeyOffsets(empty, ["key"]).number(0)
+
+
+def test_scans_are_not_copied(table, spark):
+    _, df = table
+    assert _stable(df.where("v > 1").select("key")) is not None and _stable(df) is df
+    assert _stable(df.repartition(2)) is not df
+
+
+def test_heavy_keys(spark):
+    totals = spark.createDataFrame([("a", "x", 97), ("a", None, 1), ("a", "y", 3), ("b", "x", 3), ("b", "y", 97)], "g string, k string, n long")
+    assert sorted((r.g, r.k) for r in heavy_keys(totals, ["g"], "n", 3).collect()) == [("a", "x"), ("b", "x"), ("b", "y")]

@@ -1,0 +1,86 @@
+from decimal import Decimal
+
+import pytest
+
+from quernel.errors import SqlParseError
+from quernel.sql import parse, parse_select
+from quernel.sql.ast import Aggregate, And, Between, ColumnRef, Comparison, CreateIndex, In, IsNull, Join, Literal, Not, Or, OrderItem, SelectItem, TableRef, Truth
+from quernel.sql.lexer import tokenize
+
+A, B, C = ColumnRef("a"), ColumnRef("b"), ColumnRef("c")
+
+
+def where(text):
+    return parse_select(f"SELECT a FROM t WHERE {text}").where
+
+
+def test_tokens_have_positions_and_keywords_any_case():
+    assert [(t.kind, t.position) for t in tokenize("select A1 <> 'it''s';")] == [("SELECT", 0), ("IDENT", 7), ("!=", 10), ("STRING", 13), (";", 20), ("EOF", 21)]
+    assert tokenize("'a\\nb'")[0].text == "a\\nb"
+    assert [t.text for t in tokenize("żółw _x")][:2] == ["żółw", "_x"]
+
+
+def test_full_select():
+    s = parse("SELECT s.region AS r, COUNT(*) AS n, sum(units) FROM sales s JOIN brands AS b ON s.brand = b.brand WHERE a = 1 GROUP BY region, b.c HAVING COUNT(*) > 2 ORDER BY n DESC, r LIMIT 10;")
+    assert s.items == (SelectItem(ColumnRef("region", "s"), "r"), SelectItem(Aggregate("COUNT"), "n"), SelectItem(Aggregate("SUM", ColumnRef("units"))))
+    assert s.table == TableRef("sales", "s")
+    assert s.joins == (Join(TableRef("brands", "b"), ColumnRef("brand", "s"), ColumnRef("brand", "b")),)
+    assert s.group_by == (ColumnRef("region"), ColumnRef("c", "b"))
+    assert s.having == Comparison(">", Aggregate("COUNT"), Literal(2))
+    assert s.order_by == (OrderItem(ColumnRef("n"), True), OrderItem(ColumnRef("r"), False))
+    assert s.limit == 10
+    assert [i.output_name for i in s.items] == ["r", "n", "SUM(units)"]
+
+
+def test_precedence_and_parentheses():
+    x, y, z = (Comparison("=", c, Literal(1)) for c in (A, B, C))
+    assert where("a = 1 OR b = 1 AND c = 1") == Or(x, And(y, z))
+    assert where("(a = 1 OR b = 1) AND c = 1") == And(Or(x, y), z)
+    assert where("NOT a = 1 AND b = 1") == And(Not(x), y)
+    assert where("NOT NOT a = 1") == Not(Not(x))
+
+
+def test_predicates():
+    assert where("a BETWEEN -5 AND 1.5") == Between(A, Literal(-5), Literal(Decimal("1.5")))
+    assert where("a IN (1, b, 'x')") == In(A, (Literal(1), B, Literal("x")))
+    assert where("a IS NULL OR a IS NOT NULL") == Or(IsNull(A), IsNull(A, True))
+    assert where("a AND TRUE") == And(Truth(A), Truth(Literal(True)))
+    assert where("1 <= a") == Comparison("<=", Literal(1), A)
+    assert where("a = b") == Comparison("=", A, B)
+
+
+def test_inner_join_and_aggregate_names_as_columns():
+    assert parse_select("SELECT a FROM t INNER JOIN u ON t.a = u.a").joins[0].table == TableRef("u")
+    assert parse_select("SELECT count, date FROM t").items[0].value == ColumnRef("count")
+
+
+def test_create_index():
+    assert parse("CREATE INDEX ON t(c)") == CreateIndex("t", "c", "BTREE")
+    assert parse("create index on t ( c ) using hash;") == CreateIndex("t", "c", "HASH")
+
+
+@pytest.mark.parametrize(
+    "text",
+    [
+        "", "SELECT", "SELECT a", "SELECT FROM t", "SELECT a FROM", "SELECT a b FROM t", "SELECT *, a FROM t", "SELECT t.* FROM t", "SELECT 1 FROM t",
+        "SELECT a FROM t WHERE", "SELECT a FROM t WHERE a =", "SELECT a FROM t WHERE a = NULL", "SELECT a FROM t WHERE a IN ()", "SELECT a FROM t WHERE a NOT IN (1)",
+        "SELECT a FROM t WHERE a LIKE 'x'", "SELECT a FROM t WHERE a BETWEEN 1", "SELECT a FROM t WHERE (a) = 1", "SELECT a FROM t WHERE a + 1 = 2",
+        "SELECT a FROM t LIMIT 2.5", "SELECT a FROM t LIMIT 99999999999999999999", "SELECT a FROM t LIMIT x", "SELECT a FROM t WHERE a = 99999999999999999999",
+        "SELECT a FROM t LEFT JOIN u ON t.a = u.a", "SELECT a FROM t CROSS JOIN u", "SELECT a FROM t AS natural JOIN u ON t.a = u.a", "SELECT a FROM t JOIN u ON t.a > u.a",
+        "SELECT SUM(*) FROM t", "SELECT SUM(a FROM t", "SELECT upper(a) FROM t", "SELECT a FROM t GROUP BY 1", "SELECT a FROM t ORDER BY COUNT(*)", "SELECT a FROM t; SELECT a FROM t",
+        "SELECT DISTINCT a FROM t", "SELECT a FROM t UNION SELECT a FROM t", "SELECT 'x FROM t", "SELECT a FROM t WHERE a = .5", "SELECT a FROM t -- note", 'SELECT "a" FROM t',
+        "CREATE INDEX ON t", "CREATE INDEX ON t(c) USING TREE", "CREATE TABLE t", "EXPLAIN SELECT a FROM t", "INSERT INTO t",
+    ],
+)
+def test_syntax_errors(text):
+    with pytest.raises(SqlParseError):
+        parse(text)
+
+
+def test_error_position():
+    with pytest.raises(SqlParseError) as e:
+        parse("SELECT a FROM t LIMIT 2.5")
+    assert e.value.position == 22
+    with pytest.raises(SqlParseError) as e:
+        parse("SELECT a ? FROM t")
+    assert e.value.position == 9

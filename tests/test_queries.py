@@ -1,0 +1,20 @@
+"""Every registered query of this part beside its SQL."""
+
+import pytest
+from compare import DATA, differences
+
+from quernel.plans import data_queries, sql_queries
+
+NAMES = [(m, n) for m in (sql_queries, data_queries) for n in m.QUERIES]
+
+
+@pytest.mark.parametrize(("module", "name"), NAMES, ids=[n for _, n in NAMES])
+def test_query(spark, module, name):
+    assert not differences(spark, name, module.QUERIES[name], module.SQL[name], DATA / "sf0.001")
+
+
+def test_entry(spark):
+    import __spark_entry__ as entry
+
+    assert entry.entry(spark).count() > 0
+    assert set(entry.oracle_sql()) <= set(entry.queries())
