@@ -1,0 +1,85 @@
+import base64
+import random
+from pathlib import Path
+
+import numpy as np
+import pytest
+import tiktoken
+from hypothesis import given, settings
+from hypothesis import strategies as st
+from pyspark.sql import functions as F
+
+from quernel.llm.bpe import PATTERN, Encoder, RankQueue, count_tokens, encode_column
+
+RANKS = Path("/opt/tokenizers/byte_bpe_50k.tiktoken")
+
+
+@pytest.fixture(scope="module")
+def encoders():
+    raw = RANKS.read_bytes()
+    ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in raw.splitlines())}
+    return Encoder(raw), tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+
+
+def ids(encoder, text):
+    return np.frombuffer(encoder.encode(text), "<i4").tolist()
+
+
+def test_rank_queue():
+    r, queue, held = random.Random(1), RankQueue(), {}
+    for _ in range(5000):
+        if held and r.random() < 0.45:
+            rank, places = queue.pop()
+            assert rank == min(held) and places == held.pop(rank)
+        else:
+            rank, place = r.choice([r.randrange(262144), r.randrange(70)]), r.randrange(10**6)
+            queue.push(rank, place)
+            held.setdefault(rank, []).append(place)
+    while held:
+        assert queue.pop() == (min(held), held.pop(min(held)))
+    assert queue.top == 0
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.text(max_size=60))
+def test_any_text(encoders, text):
+    text = text.encode("utf-8", "ignore").decode()
+    assert ids(encoders[0], text) == encoders[1].encode_ordinary(text)
+
+
+@pytest.mark.parametrize("alphabet", ["a", "ab", "abc ", "lo wer", "x\n\t ", "日本語のテスト", "0123456789.", "éß́‍😀"])
+def test_long_pre_tokens(encoders, alphabet):
+    r = random.Random(0)
+    for n in (1, 2, 3, 17, 300, 6000):
+        text = "".join(r.choice(alphabet) for _ in range(n))
+        assert ids(encoders[0], text) == encoders[1].encode_ordinary(text)
+
+
+def test_every_code_point(encoders):
+    for start in range(0, 0x110000, 64):
+        text = "".join(f"a{chr(c)} {chr(c)}1" for c in range(start, start + 64) if not 0xD800 <= c < 0xE000)
+        assert ids(encoders[0], text) == encoders[1].encode_ordinary(text)
+
+
+def test_a_lower_rank_comes_before_the_rest_of_a_bucket():
+    # Ranks with which merging "ab" opens a pair of a lower rank.
+    table = {bytes([c]): i for i, c in enumerate(b"abc")} | {b"abc": 3, b"ab": 4, b"cab": 5, b"abcab": 6}
+    raw = b"\n".join(base64.b64encode(t) + b" %d" % r for t, r in table.items())
+    own = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=table, special_tokens={})
+    encoder = Encoder(raw)
+    import itertools
+
+    for n in range(1, 9):
+        for text in map("".join, itertools.product("abc", repeat=n)):
+            assert ids(encoder, text) == own.encode_ordinary(text), text
+
+
+def test_table(spark, encoders):
+    texts = ["", None, "  ", "<|endoftext|> is text", "Straße\u0000�", "word " * 50000, "same", "same"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").withColumns({"ids": F.lit(1), "_text": F.lit("x"), "n_tokens": F.lit("y")})
+    got = {r.doc_id: r.ids for r in encode_column(df, ["doc_id"], "text", str(RANKS)).collect()}
+    assert got == {i: encoders[1].encode_ordinary(t or "") for i, t in enumerate(texts)}
+    counts = {r.doc_id: r.n_tokens for r in count_tokens(df, ["doc_id"], "text", str(RANKS)).collect()}
+    assert counts == {i: len(x) for i, x in got.items()}
+    assert encode_column(df.where("1 = 0"), ["doc_id"], "text", str(RANKS)).count() == 0
+    assert encode_column(df, ["doc_id"], "text", str(RANKS)).columns == ["doc_id", "ids"]
