@@ -9,6 +9,7 @@ equally long, and only the keys at a chunk's ends have to be merged with their n
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator, Mapping, Sequence
 
 import numpy as np
@@ -25,11 +26,15 @@ from quernel.plans.scratch import materialize, new_path, open_filesystem
 _PARTITIONS_PER_FOLDER = 16
 
 
+#: Nodes of a plan that leave rows in the partition that their file gives them.
+_IN_PLACE = frozenset({"Project", "Filter", "FileScan", "ColumnarToRow", "Generate", "Expand", "Union"})
+
+
 def _stable(df: DataFrame) -> DataFrame:
     """``df`` itself where it only scans files, as its partitions are then the same in every run; else a written copy."""
     plan = df._jdf.queryExecution().executedPlan().toString()
-    moved = any(word in plan for word in ("Exchange", "LocalTableScan", "Scan ExistingRDD", "Coalesce", "InMemory", "Sample", "Limit", "Range"))
-    return materialize(df, "chunk-input") if moved else df
+    nodes = {m[1] for m in re.finditer(r"^[\s:+\-*]*(?:\(\d+\) )?([A-Za-z]+)", plan, re.MULTILINE)}
+    return df if nodes <= _IN_PLACE else materialize(df, "chunk-input")
 
 
 class KeyOffsets:
