@@ -177,7 +177,8 @@ def labelled_holdout(measured: DataFrame, documents: DataFrame, id_column: str,
     """
     drawn = F.row_number().over(Window.partitionBy("stratum").orderBy(F.xxhash64(F.lit(seed), id_column), id_column))
     sample = measured.withColumn("_n", drawn).where(F.col("_n") <= per_stratum).select(id_column, "stratum", "share")
-    rows = documents.select(F.col(id_column), F.col(text).alias("_text")).join(sample, id_column)
+    # The sample has 6 * per_stratum rows of three short columns at most, so it goes to the texts, not they to it.
+    rows = documents.select(F.col(id_column), F.col(text).alias("_text")).join(F.broadcast(sample), id_column)
 
     def labels(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
