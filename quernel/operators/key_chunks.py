@@ -47,21 +47,15 @@ class KeyOffsets:
         self.keys, self.df = list(keys), _stable(df)
         counts = self.df.select(F.spark_partition_id().alias("_pid"), *self.keys).groupBy("_pid", *self.keys).agg(F.count(F.lit(1)).alias("_n"))
         order = [*(F.col(k).asc_nulls_first() for k in self.keys), F.col("_pid").asc()]
-        # Range partitioning makes the prefix sum of a partition's total the base of the next; the totals are one
-        # number a partition.
+        # Range partitioning makes the total of a partition's prefix sum the base of the next; a base is one number a
+        # partition, so all of them fit one task.
         ranged = counts.repartitionByRange(*order).withColumn("_part", F.spark_partition_id())
         self.counts = materialize(ranged, "key-counts")
-        totals = {r["_part"]: r["n"] for r in self.counts.groupBy("_part").agg(F.sum("_n").alias("n")).collect()}
-        bases, at = {}, 0
-        for part in sorted(totals):
-            bases[part] = at
-            at += totals[part]
-        self.n_rows = at
-        base = F.lit(0).cast("long")
-        if bases:
-            base = F.element_at(F.create_map(*[F.lit(x) for pair in ((p, int(b)) for p, b in bases.items()) for x in pair]), F.col("_part")).cast("long")
+        totals = self.counts.groupBy("_part").agg(F.sum("_n").alias("_total"))
+        before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+        bases = totals.select("_part", F.coalesce(F.sum("_total").over(before), F.lit(0)).alias("_base"))
         upto = Window.partitionBy("_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-        first = self.counts.select("_pid", *self.keys, "_n", (base + F.sum("_n").over(upto) - F.col("_n")).alias("_first"))
+        first = self.counts.join(bases, "_part").select("_pid", *self.keys, "_n", (F.col("_base") + F.sum("_n").over(upto) - F.col("_n")).alias("_first"))
         self.path = new_path(spark, "key-offsets")
         folder = F.floor(F.col("_pid") / _PARTITIONS_PER_FOLDER).cast("int")
         first.withColumn("_folder", folder).repartition("_folder").sortWithinPartitions("_pid").write.partitionBy("_folder").parquet(self.path)
