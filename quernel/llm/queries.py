@@ -144,8 +144,8 @@ WITH w AS (SELECT doc_id, text, length(text) AS n_chars, regexp_extract_all(lowe
 s AS (SELECT doc_id, n_chars, words, array_to_string(words, '') AS letters FROM w),
 h AS (SELECT doc_id, n_chars, words, letters, length(letters) - length(regexp_replace(letters, '[\p{Han}\p{Hiragana}\p{Katakana}ー]', '', 'g')) AS han FROM s),
 u AS (SELECT doc_id, n_chars, CASE WHEN 2 * han > length(letters) THEN 8 ELSE 4 END AS run, CASE WHEN 2 * han > length(letters) THEN string_split(letters, '') ELSE words END AS units FROM h),
-g AS (SELECT doc_id, run, units, unnest(range(1, len(units) - run + 2)) AS i FROM u),
-k AS (SELECT doc_id, run, i, row_number() OVER (PARTITION BY doc_id, units[i : i + run - 1] ORDER BY i) AS nth FROM g),
+g AS (SELECT doc_id, run, unnest(list_transform(range(1, len(units) - run + 2), lambda i: {'i': i, 'gram': array_to_string(units[i : i + run - 1], ' ')}), recursive := true) FROM u),
+k AS (SELECT doc_id, run, i, row_number() OVER (PARTITION BY doc_id, gram ORDER BY i) AS nth FROM g),
 c AS (SELECT doc_id, COUNT(DISTINCT i + j) AS n_repeated FROM (SELECT doc_id, i, unnest(range(0, run)) AS j FROM k WHERE nth > 1) GROUP BY doc_id),
 d AS (SELECT u.doc_id, n_chars, COALESCE(len(units), 0) AS n_units, COALESCE(n_repeated, 0) AS n_repeated, CASE WHEN len(units) > 0 THEN COALESCE(n_repeated, 0) / len(units) ELSE 0.0 END AS share
   FROM u LEFT JOIN c ON u.doc_id = c.doc_id)
