@@ -69,11 +69,15 @@ class IndexEntry:
 
 @dataclass
 class TableStats:
-    """Exact numbers, computed when first asked for and then kept."""
+    """Numbers computed when first asked for and then kept.
+
+    They are exact, or, where ``exact`` is False, distinct counts are estimates that need no shuffle of the values.
+    """
 
     frame: DataFrame
     _rows: int | None = None
     _distinct: dict[str, int] = field(default_factory=dict)
+    exact: bool = True
 
     @property
     def row_count(self) -> int:
@@ -88,7 +92,8 @@ class TableStats:
             if key not in {c.lower() for c in self.frame.columns}:
                 return self.row_count
             values = self.frame.select(F.col(f"`{column}`"))
-            rows, n = values.agg(F.count(F.lit(1)), F.count_distinct(values[0])).first()
+            distinct = F.count_distinct(values[0]) if self.exact else F.approx_count_distinct(values[0], 0.02)
+            rows, n = values.agg(F.count(F.lit(1)), distinct).first()
             self._rows, self._distinct[key] = rows, max(n, 1)
         return self._distinct[key]
 
@@ -106,8 +111,9 @@ class Table:
 class Catalog:
     """Names are case-insensitive. Replacing a table drops its indexes."""
 
-    def __init__(self, spark: SparkSession):
+    def __init__(self, spark: SparkSession, exact_statistics: bool = True):
         self.spark = spark
+        self.exact_statistics = exact_statistics
         self._tables: dict[str, Table] = {}
         self._indexes: dict[tuple[str, str], IndexEntry] = {}
 
@@ -115,7 +121,7 @@ class Catalog:
         lowered = [c.lower() for c in frame.columns]
         if len(set(lowered)) != len(lowered):
             raise BindError(f"table {name} has two columns of one name")
-        table = Table(name, frame, TableStats(frame), double_scale)
+        table = Table(name, frame, TableStats(frame, exact=self.exact_statistics), double_scale)
         self._tables[name.lower()] = table
         self._indexes = {k: v for k, v in self._indexes.items() if k[0] != name.lower()}
         return table

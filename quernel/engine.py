@@ -16,11 +16,11 @@ from quernel.sql.ast import CreateIndex, Select
 
 
 class Engine:
-    """``use_indexes`` False makes every access path a scan; results are the same."""
+    """``use_indexes`` False makes every access path a scan; results are the same. So they are with estimated statistics."""
 
-    def __init__(self, spark: SparkSession, use_indexes: bool = True):
+    def __init__(self, spark: SparkSession, use_indexes: bool = True, exact_statistics: bool = True):
         self.spark = spark
-        self.catalog = Catalog(spark)
+        self.catalog = Catalog(spark, exact_statistics)
         self.use_indexes = use_indexes
 
     def load_csv(self, path: str, name: str | None = None) -> Table:

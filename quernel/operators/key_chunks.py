@@ -97,6 +97,16 @@ class KeyOffsets:
 
         return self.df.select([f.name for f in fields]).mapInArrow(rows, schema)
 
+    def chunks(self, chunk_rows: int) -> DataFrame:
+        """``number`` with one chunk per partition, in the order of _pos, for work that needs a key's rows together.
+
+        Every partition but the last has exactly ``chunk_rows`` rows. This moves all rows; ``chunked_aggregate``, which
+        moves states, does where they can be merged.
+        """
+        n = self.counts.agg(F.coalesce(F.sum("_n"), F.lit(0))).first()[0]
+        numbered = self.number(chunk_rows)
+        return numbered.repartitionById(max(1, -(-n // chunk_rows)), F.col("_chunk").cast("int")).sortWithinPartitions("_pos")
+
 
 def _own_offsets(path: str, pid: int, keys: Sequence[str]) -> tuple[dict[tuple, int], np.ndarray, np.ndarray]:
     """Slots of the keys of partition ``pid``, their first positions and the ends of their positions."""

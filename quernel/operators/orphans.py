@@ -22,7 +22,8 @@ from pyspark.sql import functions as F
 from quernel.plans.scratch import materialize
 
 #: Keys in a range: the bits of one of Spark's bitmaps.
-RANGE_KEYS = 32768
+RANGE_BITS = 15
+RANGE_KEYS = 1 << RANGE_BITS
 #: The month of references without a date.
 ANY_TIME = -1
 #: Later than any month.
@@ -79,7 +80,7 @@ def missing_keys(references: DataFrame, parents: DataFrame) -> DataFrame:
     pairs = materialize(pairs, "references")
     # The ids are contiguous in each partition. They are written: a second evaluation could give others.
     dictionary = materialize(pairs.select("key").distinct().withColumn("id", F.monotonically_increasing_id()), "dictionary")
-    coded = dictionary.select("key", F.floor(F.col("id") / RANGE_KEYS).cast("long").alias("key_range"), (F.col("id") % RANGE_KEYS).cast("int").alias("bit"))
+    coded = dictionary.select("key", F.shiftright("id", RANGE_BITS).alias("key_range"), F.col("id").bitwiseAND(RANGE_KEYS - 1).cast("int").alias("bit"))
     bitmaps = pairs.join(coded, "key").groupBy(F.col("key_range").alias("ref_range"), "ref", "month").agg(F.bitmap_construct_agg("bit").alias("bitmap"))
     intervals = _full_months(parents.where(F.col("key").isNotNull())).join(coded, "key").select(F.col("key_range").alias("parent_range"), "bit", "lo", "hi").distinct()
     survivors = bitmaps.groupBy("ref_range").cogroup(intervals.groupBy("parent_range")).applyInArrow(_and_not, "ref string, month int, id long")

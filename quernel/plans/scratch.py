@@ -33,15 +33,29 @@ def _root(spark: SparkSession) -> str:
     return f"file://{_local_root}"
 
 
+_folders: list[str] = []
+
+
+def _file_system(spark: SparkSession, path: str):
+    hadoop_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return hadoop_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), hadoop_path
+
+
 def new_path(spark: SparkSession, name: str) -> str:
-    """A fresh folder below the shared one; Hadoop removes it when the driver's JVM ends."""
-    path = f"{_root(spark)}/quernel-{uuid.uuid4().hex}/{name}"
-    jvm = spark.sparkContext._jvm
-    hadoop_path = jvm.org.apache.hadoop.fs.Path(path)
-    fs = hadoop_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    fs.mkdirs(hadoop_path.getParent())
-    fs.deleteOnExit(hadoop_path.getParent())
-    return path
+    """A fresh path below the shared folder, with its scheme. It lasts until ``clean``, or until the driver ends."""
+    fs, folder = _file_system(spark, f"{_root(spark)}/quernel-{uuid.uuid4().hex}")
+    fs.mkdirs(folder)
+    fs.deleteOnExit(folder)
+    qualified = fs.makeQualified(folder).toString()
+    _folders.append(qualified)
+    return f"{qualified}/{name}"
+
+
+def clean(spark: SparkSession) -> None:
+    """Remove all that this session has written so far; call it when no result that is still to be read needs it."""
+    while _folders:
+        fs, folder = _file_system(spark, _folders.pop())
+        fs.delete(folder, True)
 
 
 def materialize(df: DataFrame, name: str, **options: object) -> DataFrame:

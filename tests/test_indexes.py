@@ -148,3 +148,5 @@ def test_statistics(spark):
     e = Engine(spark)
     t = e.catalog.add_rows("s", [(1, None), (1, None), (2, None)], "flag bigint, always_null bigint")
     assert (t.stats.row_count, t.stats.distinct_count("FLAG"), t.stats.distinct_count("always_null"), t.stats.distinct_count("nothing")) == (3, 2, 1, 3)
+    estimated = Engine(spark, exact_statistics=False).catalog.add_table("e", spark.range(1000).selectExpr("id % 50 AS k"))
+    assert estimated.stats.row_count == 1000 and 45 <= estimated.stats.distinct_count("k") <= 55

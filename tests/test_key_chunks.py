@@ -30,6 +30,12 @@ def test_positions_are_a_permutation_in_key_order(table):
     assert Counter((r.key, r.v) for r in numbered) == Counter(rows)
 
 
+def test_chunks_fill_equal_partitions(table):
+    rows, df = table
+    sizes = KeyOffsets(df, ["key"]).chunks(700).withColumn("p", F.spark_partition_id()).groupBy("p").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("_chunk").alias("c"), F.max("_pos").alias("to")).orderBy("p").collect()
+    assert [r.n for r in sizes] == [700] * 4 + [200] and all(r.c == 1 for r in sizes) and [r.to for r in sizes] == [699, 1399, 2099, 2799, 2999]
+
+
 @pytest.mark.parametrize("chunk", [1, 37, 1000, 10**9])
 def test_aggregate_equals_group_by(table, chunk):
     rows, df = table

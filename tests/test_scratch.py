@@ -1,0 +1,20 @@
+import os
+
+from quernel.plans.scratch import clean, materialize, new_path, open_filesystem
+
+
+def test_written_tables_last_until_cleaned(spark):
+    path = new_path(spark, "x")
+    assert path.startswith("file:/")
+    df = materialize(spark.range(5), "five")
+    assert df.count() == 5 and df.dtypes == [("id", "bigint")]
+    file = df.inputFiles()[0]
+    filesystem, at = open_filesystem(file)
+    assert filesystem.get_file_info(at).size > 0 and os.path.exists(at)
+    clean(spark)
+    assert not os.path.exists(at)
+
+
+def test_names_the_folder_of_the_session(spark):
+    before = spark.conf.get("spark.checkpoint.dir", None)
+    assert before is None or before.rstrip("/") in new_path(spark, "x")
