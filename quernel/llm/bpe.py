@@ -11,7 +11,10 @@ from __future__ import annotations
 
 import base64
 import hashlib
+from array import array
 from collections.abc import Iterator
+from functools import partial
+from itertools import repeat
 from pathlib import Path
 
 import numpy as np
@@ -29,6 +32,9 @@ PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?
 #: Pre-tokens that a worker remembers, and the characters of the longest: for speed only.
 REMEMBERED, REMEMBERED_CHARS = 250_000, 48
 
+#: Length from which a pre-token's lists are packed: an object for each number would take several times the room.
+PACKED_BYTES = 4096
+
 _WORD = 64
 
 
@@ -100,8 +106,8 @@ class Encoder:
             return whole.to_bytes(4, "little")
         n = len(piece)
         tokens: list[bytes | None] = [piece[i : i + 1] for i in range(n)]
-        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        rank_at: list[int] = [-1] * n
+        ints = list if n < PACKED_BYTES else partial(array, "i")
+        after, before, rank_at = ints(range(1, n + 1)), ints(range(-1, n - 1)), ints(repeat(-1, n))
         queue = RankQueue()
         for i in range(n - 1):
             r = ranks.get(piece[i : i + 2])

@@ -51,6 +51,11 @@ def p3_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quantiles.percentiles(merged, ("category",), PERCENTILES)
 
 
+def p3_loads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Percentiles of each load and category; groups of at most quantiles.K values are exact."""
+    return quantiles.percentiles(_load_states(spark, sf_dir), ("load_id", "category"), PERCENTILES)
+
+
 def p3_direct(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Percentiles of categories straight from the rows."""
     sales = _valid_sales(spark, sf_dir).where(F.col("category").isNotNull())
@@ -137,7 +142,7 @@ def p9_cutoffs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame(sorted(_judged(spark, sf_dir)[1].items()), "stratum string, cutoff double")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p3_percentiles, p3_direct, p3_within_bound, p7_ids, p8_found, p8_mix, p8_shares, p9_found, p9_shares, p9_cutoffs)}
+QUERIES = {f.__name__: f for f in (p1_found, p3_percentiles, p3_loads, p3_direct, p3_within_bound, p7_ids, p8_found, p8_mix, p8_shares, p9_found, p9_shares, p9_cutoffs)}
 
 _REPETITION = r"""
 WITH w AS (SELECT doc_id, text, length(text) AS n_chars, regexp_extract_all(lower(text), '\p{L}+') AS words FROM documents),
@@ -156,6 +161,12 @@ SQL = {
 WITH d AS (SELECT DISTINCT b.category, s.sku, s.sale_id, s.units_sold FROM fmcg_sales s JOIN brands b ON s.brand = b.brand WHERE s.sku IS NOT NULL AND s.units_sold BETWEEN 0 AND 20000),
 r AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY category, sku ORDER BY units_sold DESC, sale_id) AS place FROM d)
 SELECT category, sku, sale_id FROM r WHERE place <= 5""",
+    # Exact, which the estimates are too where no load has more than quantiles.K values of a category.
+    "p3_loads": f"""
+WITH g AS (SELECT s.load_id, b.category, list_sort(list(s.units_sold)) AS v, COUNT(*) AS n_values FROM fmcg_sales s JOIN brands b ON s.brand = b.brand
+  WHERE s.units_sold BETWEEN 0 AND 20000 AND b.category IS NOT NULL GROUP BY s.load_id, b.category)
+SELECT load_id, category, percentile, CAST(v[CAST(GREATEST(1, CEIL(percentile * n_values)) AS BIGINT)] AS DOUBLE) AS estimate, n_values
+FROM g, (SELECT unnest([{', '.join(f'CAST({p} AS DOUBLE)' for p in PERCENTILES)}]) AS percentile) p""",
     "p3_within_bound": f"""
 SELECT b.category, p.percentile, COUNT(*) AS n_values, TRUE AS within
 FROM fmcg_sales s JOIN brands b ON s.brand = b.brand, (SELECT unnest([{', '.join(f'CAST({p} AS DOUBLE)' for p in PERCENTILES)}]) AS percentile) p

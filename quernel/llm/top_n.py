@@ -36,12 +36,12 @@ class Clustered:
     tie: tuple[str, ...]
 
 
-def cluster(items: DataFrame, group: Sequence[str], score: str, tie: Sequence[str], path: str | None = None, row_group_rows: int = 20_000) -> Clustered:
+def cluster(items: DataFrame, group: Sequence[str], score: str, tie: Sequence[str], path: str | None = None, row_group_rows: int = 100_000) -> Clustered:
     """Write ``items`` clustered by ``group``.
 
     Items whose score is NULL or NaN are left out. Items are told apart by all of group, score and tie columns: rows
     equal in these count once. NULL is a group, and the lowest value of a tie column. Only these columns are read and
-    written. ``row_group_rows`` is the most rows of a row group, the unit of skipping.
+    written. ``row_group_rows`` is the most rows of a row group, the unit of skipping: footers grow as it shrinks.
     """
     columns = [*group, score, *tie]
     if not group or not tie or len(set(columns)) != len(columns):
