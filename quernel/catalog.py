@@ -17,6 +17,7 @@ from pyspark.sql import types as T
 from quernel.errors import BindError, TypeMismatch, UnknownColumn, UnknownTable
 from quernel.functions.types import SqlType, literal_type, sql_type, text_literal_as
 from quernel.plans.scratch import new_path
+from quernel.sources.parquet import read_parquet
 
 _BUCKET = "__bucket"
 
@@ -132,7 +133,7 @@ class Catalog:
     def add_parquet(self, path: str, name: str | None = None, double_scale: int | None = None) -> Table:
         """Named after the file, if not given a name."""
         name = name or os.path.basename(path.rstrip("/")).split(".")[0]
-        return self.add_table(name, self.spark.read.parquet(path), double_scale)
+        return self.add_table(name, read_parquet(self.spark, path), double_scale)
 
     def get_table(self, name: str) -> Table:
         table = self.try_get_table(name)

@@ -40,3 +40,10 @@ def aggregate(function: str, column: Column | None, kind: T.DataType | None, dou
     exact = _exact(column, kind, double_scale)
     # The quotient keeps more places than the built-in average of decimals.
     return F.sum(exact) if function == "SUM" else F.sum(exact) / F.when(F.count(column) > 0, F.count(column))
+
+
+def result_type(function: str, kind: T.DataType | None) -> T.DataType:
+    """The type of an aggregate's result as comparisons need it; decimals without their exact places."""
+    if function == "COUNT" or kind is None:
+        return T.LongType()
+    return kind if function in ("MIN", "MAX") else T.DecimalType(38, 9)

@@ -9,7 +9,6 @@ equally long, and only the keys at a chunk's ends have to be merged with their n
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator, Mapping, Sequence
 
 import numpy as np
@@ -21,20 +20,15 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from quernel.plans.scratch import materialize, new_path, open_filesystem
+from quernel.plans.shape import only_scans
 
 #: Input partitions whose offsets share a folder: a task reads its own folder only.
 _PARTITIONS_PER_FOLDER = 16
 
 
-#: Nodes of a plan that leave rows in the partition that their file gives them.
-_IN_PLACE = frozenset({"Project", "Filter", "FileScan", "ColumnarToRow", "Generate", "Expand", "Union"})
-
-
 def _stable(df: DataFrame) -> DataFrame:
-    """``df`` itself where it only scans files, as its partitions are then the same in every run; else a written copy."""
-    plan = df._jdf.queryExecution().executedPlan().toString()
-    nodes = {m[1] for m in re.finditer(r"^[\s:+\-*]*(?:\(\d+\) )?([A-Za-z]+)", plan, re.MULTILINE)}
-    return df if nodes <= _IN_PLACE else materialize(df, "chunk-input")
+    """``df`` itself where its partitions are the same in every run; else a written copy."""
+    return df if only_scans(df) else materialize(df, "chunk-input")
 
 
 class KeyOffsets:

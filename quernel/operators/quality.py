@@ -36,7 +36,7 @@ class Rule:
 
     def valid(self, value: Column) -> Column:
         """NULL for NULL, else whether the value is valid."""
-        tests = [F.lit(True) | value.isNull()]
+        tests = [F.lit(True)]
         if self.low is not None:
             tests.append(value >= F.lit(self.low))
         if self.high is not None:
@@ -51,11 +51,13 @@ class Rule:
 def frequency_states(df: DataFrame, by: str, rules: Sequence[Rule]) -> DataFrame:
     """Exact states (``by``, column_name, value, n) of integer columns in one scan.
 
-    NULL is a value of its own, so is a NULL in ``by``. Rows are counted as stored, repeated ones too. An empty table
+    A column has one rule. NULL is a value of its own, so is a NULL in ``by``. Rows are counted as stored, repeated ones too. An empty table
     has no states. Columns other than ``by`` and those of the rules are not read, whatever their names. Rows are
     counted in each input partition before the shuffle, which is keyed by value too, so a load that holds a large part
     of the table is spread over the tasks.
     """
+    if len({r.column for r in rules}) != len(rules):
+        raise ValueError("a column has one rule")
     pairs = [F.struct(F.lit(r.column).alias("column_name"), F.col(r.column).cast("long").alias("value")) for r in rules]
     return (
         df.select(F.col(by).alias(by), F.explode(F.array(*pairs)).alias("_p"))

@@ -16,12 +16,16 @@ from pyspark.sql import types as T
 
 from quernel.catalog import Catalog, Table
 from quernel.errors import AmbiguousColumn, BindError, TypeMismatch, UnknownColumn
-from quernel.functions.aggregates import aggregate
+from quernel.functions.aggregates import aggregate, result_type
 from quernel.functions.types import SqlType, literal_type, sql_type, text_literal_as
 from quernel.plans.access_path import AccessPath, choose
 from quernel.sql.ast import Aggregate, And, Between, ColumnRef, Comparison, In, IsNull, Literal, Not, Operand, Or, Predicate, Select, SelectItem, TableRef, Truth, conjuncts, operands
 
 
+def _quoted(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
+
+
 @dataclass(frozen=True)
 class Bound:
     """A column of the query: the name it has inside, its type and where it comes from."""
@@ -33,7 +37,7 @@ class Bound:
 
     @property
     def column(self) -> Column:
-        return F.col(f"`{self.inner}`")
+        return F.col(_quoted(self.inner))
 
 
 @dataclass
@@ -166,7 +170,8 @@ class Binder:
         if any(isinstance(o, Aggregate) for o in operands(s.where)):
             raise BindError("WHERE cannot hold an aggregate; use HAVING")
         paths = [self.path(scope, i, s) for i in range(len(scope.tables))]
-        frames = [p.frame(t).select([F.col(f"`{b.name}`").alias(b.inner) for b in scope.columns(i)]) for i, (p, t) in enumerate(zip(paths, scope.tables, strict=True))]
+        used = self.used_columns(s, scope)
+        frames = [p.frame(t).selectExpr(*[f"{_quoted(b.name)} AS {_quoted(b.inner)}" for b in scope.columns(i) if used is None or b.inner in used]) for i, (p, t) in enumerate(zip(paths, scope.tables, strict=True))]
         df = frames[0]
         for i, join in enumerate(s.joins, 1):
             left, right = self.join_columns(scope, join.left, join.right, i)
@@ -183,6 +188,16 @@ class Binder:
             df = self.finish(df, s, items, scope.find)
         return Query(s, scope, paths, df)
 
+    def used_columns(self, s: Select, scope: Scope) -> set[str] | None:
+        """Inner names of the columns that the query may need (None: all), so that the plan starts small."""
+        if s.items is None and not s.group_by:
+            return None
+        refs = [*s.group_by, *(o.column for o in s.order_by), *(c for j in s.joins for c in (j.left, j.right))]
+        for o in [i.value for i in s.items or ()] + operands(s.where) + operands(s.having):
+            refs += [o] if isinstance(o, ColumnRef) else [o.argument] if isinstance(o, Aggregate) and o.argument else []
+        names = {r.name.lower() for r in refs}
+        return {b.inner for i in range(len(scope.tables)) for b in scope.columns(i) if b.name.lower() in names}
+
     def path(self, scope: Scope, i: int, s: Select) -> AccessPath:
         if not self.use_indexes:
             return AccessPath(0.0, 0.0)
@@ -222,8 +237,7 @@ class Binder:
                 scale = scope.tables[argument.table].double_scale if argument else None
                 expression = aggregate(a.function, argument.column if argument else None, argument.kind if argument else None, scale)
                 inner = f"agg{len(bound)}"
-                kind = df.select(expression.alias(inner)).schema[0].dataType
-                bound[key] = (Bound(inner, kind, a.canonical_name), expression)
+                bound[key] = (Bound(inner, result_type(a.function, argument.kind if argument else None), a.canonical_name), expression)
             return bound[key][0]
 
         def key_column(ref: ColumnRef) -> Bound:
@@ -269,5 +283,5 @@ class Binder:
             order.append(column.desc_nulls_last() if o.descending else column.asc_nulls_last())
         if order:
             df = df.orderBy(*order)
-        df = df.select([b.column.alias(name) for name, b in items])
+        df = df.selectExpr(*[f"{_quoted(b.inner)} AS {_quoted(name)}" for name, b in items])
         return df if s.limit is None else df.limit(max(0, min(s.limit, 2**31 - 1)))

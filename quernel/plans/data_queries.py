@@ -9,10 +9,11 @@ from quernel.operators.key_chunks import KeyOffsets, chunked_aggregate, heavy_ke
 from quernel.operators.orphans import orphan_report, orphan_rows
 from quernel.operators.quality import Rule, control_limits, frequency_metrics, frequency_states, profile_metrics, profile_states, with_previous_load
 from quernel.sources.delimited import Field, parse_lines
+from quernel.sources.parquet import read_parquet
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return read_parquet(spark, f"{sf_dir}/{name}.parquet")
 
 
 SALES_RULES = (Rule("units_sold", low=0, high=20000), Rule("promotion_flag", allowed=(0, 1)))

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from quernel.engine import Engine
 from quernel.operators import relational as ops
 from quernel.plans.scratch import new_path
+from quernel.sources.parquet import read_parquet
 from quernel.sql import parse_select
 
 #: Money and quantities of the test tables have two places.
@@ -121,26 +122,26 @@ _OWN: dict[str, tuple[str, dict[str, str] | None, str]] = {
 
 
 def null_handling(spark: SparkSession, sf_dir: str) -> DataFrame:
-    orders = spark.read.parquet(f"{sf_dir}/orders.parquet")
+    orders = read_parquet(spark, f"{sf_dir}/orders.parquet")
     engine = Engine(spark)
     engine.catalog.add_table("t", orders.select(F.nullif("o_orderstatus", F.lit("P")).alias("k"), F.nullif("o_custkey", F.lit(1)).alias("v")))
     return engine.query("SELECT k, COUNT(*) AS n, COUNT(v) AS c, SUM(v) AS s FROM t GROUP BY k").withColumn("s", F.col("s").cast("bigint"))
 
 
 def nested_loop_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s, n = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("supplier", "nation"))
+    s, n = (read_parquet(spark, f"{sf_dir}/{t}.parquet") for t in ("supplier", "nation"))
     return ops.project(ops.nested_loop_join(s, n, "s_nationkey", "n_nationkey"), ["s_suppkey", "n_name"])
 
 
 def hash_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s, b = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("fmcg_sales", "brands"))
+    s, b = (read_parquet(spark, f"{sf_dir}/{t}.parquet") for t in ("fmcg_sales", "brands"))
     s, b = s.select("sale_id", "brand"), b.select(F.col("brand").alias("b"), "manufacturer")
     return ops.project(ops.hash_join(s, b, "brand", "b"), ["sale_id", "manufacturer"])
 
 
 def _parallel(degree: int) -> Callable[[SparkSession, str], DataFrame]:
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-        lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+        lines = read_parquet(spark, f"{sf_dir}/lineitem.parquet")
         return ops.parallel_hash_aggregate(lines, ["l_returnflag", "l_linestatus"], {"n": ("COUNT", None)}, degree)
 
     return query
@@ -166,7 +167,7 @@ def index_range_btree(spark: SparkSession, sf_dir: str) -> DataFrame:
 def csv_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Customers written as CSV and loaded with inferred types."""
     path = new_path(spark, "customer.csv")
-    spark.read.parquet(f"{sf_dir}/customer.parquet").write.option("header", True).option("escape", '"').csv(path)
+    read_parquet(spark, f"{sf_dir}/customer.parquet").write.option("header", True).option("escape", '"').csv(path)
     engine = Engine(spark)
     engine.load_csv(path, "customer")
     df = engine.query("SELECT c_mktsegment, COUNT(*) AS n, SUM(c_acctbal) AS s, MIN(c_custkey) AS mn, MAX(c_name) AS mx FROM customer GROUP BY c_mktsegment")

@@ -41,6 +41,8 @@ def test_median_is_exact(spark):
 def test_empty_table_and_merging(spark):
     df = spark.createDataFrame(ROWS, SCHEMA)
     assert metrics(df.where("1 = 0")) == {}
+    with pytest.raises(ValueError):
+        frequency_states(df, "load_id", (*RULES, Rule("u", low=5)))
     halves = [frequency_states(df.where(c), "load_id", RULES) for c in ("u > 5", "u IS NULL OR u <= 5")]
     merged = frequency_metrics(merge_frequency_states(halves, "load_id"), "load_id", RULES).collect()
     assert sorted(map(tuple, merged), key=str) == sorted(map(tuple, metrics(df).values()), key=str)
