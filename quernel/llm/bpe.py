@@ -19,13 +19,15 @@ from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
+from quernel.functions.arrow import text_parts
+from quernel.plans.shape import spread
+
 #: Fixed value: the published pattern by which the rank files' tokenizers split text before merging.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
@@ -35,6 +37,9 @@ REMEMBERED, REMEMBERED_CHARS = 250_000, 48
 #: Length from which a pre-token's lists are packed: an object for each number would take several times the room.
 PACKED_BYTES = 4096
 
+#: Text of the rows that are encoded before their ids are handed on.
+PART_BYTES = 8 << 20
+
 _WORD = 64
 
 
@@ -173,21 +178,11 @@ def _mapped(df: DataFrame, id_columns: list[str], text: str, rank_path: str, out
         encode = _encoder(shared.value, digest).encode
         for batch in batches:
             # Rows of any length: what is held at once is the text of some rows, never cut.
-            for part in _parts(batch, len(id_columns)):
+            for part in text_parts(batch, len(id_columns), PART_BYTES):
                 ids = [b"" if t is None else encode(t) for t in part.column(len(id_columns)).to_pylist()]
                 yield pa.RecordBatch.from_arrays([*part.columns[: len(id_columns)], values(ids)], schema=arrow_schema)
 
-    return df.select(*id_columns, F.col(text).alias("_text")).mapInArrow(encoded, schema)
-
-
-def _parts(batch: pa.RecordBatch, text_column: int, most_bytes: int = 8 << 20) -> Iterator[pa.RecordBatch]:
-    """The batch in runs of whole rows with about ``most_bytes`` of text."""
-    sizes = pc.fill_null(pc.binary_length(batch.column(text_column)), 0).to_numpy()
-    run = np.cumsum(sizes) // most_bytes
-    cuts = [0, *(np.flatnonzero(np.diff(run)) + 1).tolist(), batch.num_rows]
-    for a, b in zip(cuts, cuts[1:]):
-        if b > a:
-            yield batch.slice(a, b - a)
+    return spread(df.select(*id_columns, F.col(text).alias("_text"))).mapInArrow(encoded, schema)
 
 
 def _ids(encoded: list[bytes]) -> pa.ListArray:

@@ -23,8 +23,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
+from quernel.functions.arrow import text_parts
+from quernel.plans.shape import spread
+
 #: Units of a run, in texts of words and in texts of Han or kana letters.
 WORD_RUN, LETTER_RUN = 4, 8
+#: Text of the rows that are measured at once.
+PART_BYTES = 4 << 20
 _words = regex.compile(r"\p{L}+").findall
 _han_kana = regex.compile(r"[\p{Han}\p{Hiragana}\p{Katakana}ー]+").findall
 
@@ -95,16 +100,6 @@ def measure_texts(texts: Sequence[str | None]) -> dict[str, np.ndarray]:
     return {"n_units": n_units, "n_repeated": repeated, "by_letter": by_letter}
 
 
-def _parts(batch: pa.RecordBatch, most_bytes: int = 4 << 20) -> Iterator[pa.RecordBatch]:
-    """The batch in runs of whole rows with about ``most_bytes`` of text in the last column."""
-    sizes = pc.fill_null(pc.binary_length(batch.column(batch.num_columns - 1)), 0).to_numpy()
-    run = np.cumsum(sizes) // most_bytes
-    cuts = [0, *(np.flatnonzero(np.diff(run)) + 1).tolist(), batch.num_rows]
-    for a, b in zip(cuts, cuts[1:]):
-        if b > a:
-            yield batch.slice(a, b - a)
-
-
 def repetition(df: DataFrame, id_columns: Sequence[str], text: str) -> DataFrame:
     """``id_columns``, n_chars, n_units, n_repeated, by_letter and share of each row.
 
@@ -117,13 +112,13 @@ def repetition(df: DataFrame, id_columns: Sequence[str], text: str) -> DataFrame
 
     def measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in _parts(batch):
+            for part in text_parts(batch, len(id_columns), PART_BYTES):
                 texts = part.column(part.num_columns - 1)
                 found = measure_texts(texts.to_pylist())
                 arrays = [*part.columns[: len(id_columns)], pc.utf8_length(texts), *(pa.array(found[n]) for n in ("n_units", "n_repeated", "by_letter"))]
                 yield pa.RecordBatch.from_arrays([a.cast(f.type) for a, f in zip(arrays, arrow_schema, strict=True)], schema=arrow_schema)
 
-    out = df.select(*id_columns, F.col(text).alias("_text")).mapInArrow(measured, schema)
+    out = spread(df.select(*id_columns, F.col(text).alias("_text"))).mapInArrow(measured, schema)
     return out.withColumn("share", F.when(F.col("n_units") > 0, F.col("n_repeated") / F.col("n_units")).otherwise(F.lit(0.0)))
 
 
