@@ -20,8 +20,10 @@ def spread(df: DataFrame) -> DataFrame:
     """``df`` over all cores if it is a scan of fewer partitions than there are cores.
 
     For work that costs much more than moving the rows. An input of that few partitions is small, so what is shuffled
-    here does not grow with the data.
+    here does not grow with the data. A stream is left as it is.
     """
+    if df.isStreaming:
+        return df
     cores = df.sparkSession.sparkContext.defaultParallelism
     if only_scans(df) and df._jdf.queryExecution().toRdd().getNumPartitions() < cores:
         return df.repartition(cores)

@@ -8,6 +8,7 @@ import regex
 
 from quernel.errors import SqlParseError
 
+# The reserved words.
 KEYWORDS = frozenset(
     "SELECT FROM WHERE JOIN ON GROUP BY HAVING ORDER ASC DESC LIMIT AS AND OR NOT BETWEEN IN IS NULL TRUE FALSE CREATE INDEX USING".split()
 )

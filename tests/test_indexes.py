@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from quernel.catalog import TableStats
 from quernel.engine import Engine
 from quernel.errors import BindError, TypeMismatch, UnknownColumn, UnknownTable
-from quernel.plans import cost
+from quernel.plans import cost, explain
 
 
 @pytest.fixture()
@@ -144,6 +144,13 @@ def test_explain_shape(engine):
     ]
 
 
+def test_nodes_of_plans_built_by_hand(engine):
+    left, right = explain.Node("SeqScan on a", 10, 10), explain.Node("SeqScan on b", 4, 4)
+    assert explain.nested_loop_join(left, right).render().splitlines() == ["NestedLoopJoin  (cost=54.0, est. rows=10)", "  SeqScan on a  (cost=10.0, est. rows=10)", "  SeqScan on b  (cost=4.0, est. rows=4)"]
+    assert explain.parallel_aggregate("t", 100, 5, True).render() == "ParallelHashAggregate (dop=5)  (cost=50.0, est. rows=10)\n  SeqScan on t  (cost=100.0, est. rows=100)"
+    assert "Scan" in explain.physical(engine.query("SELECT id FROM t"))
+
+
 def test_statistics(spark):
     e = Engine(spark)
     t = e.catalog.add_rows("s", [(1, None), (1, None), (2, None)], "flag bigint, always_null bigint")
