@@ -28,6 +28,8 @@ from quernel.plans.shape import spread
 
 #: Units of a run, in texts of words and in texts of Han or kana letters.
 WORD_RUN, LETTER_RUN = 4, 8
+#: Times the rows of a stratum's holdout that are drawn at first.
+OVERDRAWN = 4
 #: Text of the rows that are measured at once.
 PART_BYTES = 4 << 20
 _words = regex.compile(r"\p{L}+").findall
@@ -168,10 +170,16 @@ def labelled_holdout(measured: DataFrame, documents: DataFrame, id_column: str,
     """(share, good) by stratum for ``per_stratum`` documents of each at most, drawn by a seeded hash.
 
     ``measured`` has id, stratum and share. ``label`` maps a text to True if the document is good; it runs in the
-    tasks, on whole texts. Only shares and labels come to the driver, 6 * ``per_stratum`` of them at most.
+    tasks, on whole texts. Only shares and labels come to the driver, 6 * ``per_stratum`` of them at most, as
+    ``stratum`` has six values.
     """
-    drawn = F.row_number().over(Window.partitionBy("stratum").orderBy(F.xxhash64(F.lit(seed), id_column), id_column))
-    sample = measured.withColumn("_n", drawn).where(F.col("_n") <= per_stratum).select(id_column, "stratum", "share")
+    # Rows of a low hash first, so many that enough of a stratum are among them; no stratum is sorted as a whole.
+    order = F.xxhash64(F.lit(seed), id_column)
+    sizes = measured.groupBy("stratum").agg(F.count(F.lit(1)).alias("_size"))
+    low = F.pmod(order, F.lit(1 << 40)) < F.lit(float((1 << 40) * OVERDRAWN * per_stratum)) / F.col("_size")
+    drawn = F.row_number().over(Window.partitionBy("stratum").orderBy(F.pmod(order, F.lit(1 << 40)), order, id_column))
+    few = measured.join(F.broadcast(sizes), "stratum").where(low)
+    sample = few.withColumn("_n", drawn).where(F.col("_n") <= per_stratum).select(id_column, "stratum", "share")
     # The sample has 6 * per_stratum rows of three short columns at most, so it goes to the texts, not they to it.
     rows = documents.select(F.col(id_column), F.col(text).alias("_text")).join(F.broadcast(sample), id_column)
 
