@@ -92,7 +92,7 @@ _SAME = {
 #: (text of the dialect, casts, text of the oracle).
 _OWN: dict[str, tuple[str, dict[str, str] | None, str]] = {
     "agg_sum_int": ("SELECT l_returnflag, SUM(l_linenumber) AS s FROM lineitem GROUP BY l_returnflag", {"s": "bigint"}, "SELECT l_returnflag, CAST(SUM(l_linenumber) AS BIGINT) AS s FROM lineitem GROUP BY l_returnflag"),
-    "agg_sum_decimal": ("SELECT l_returnflag, SUM(l_quantity) AS s FROM lineitem GROUP BY l_returnflag", None, "SELECT l_returnflag, SUM(CAST(l_quantity AS DECIMAL(18,2))) AS s FROM lineitem GROUP BY l_returnflag"),
+    "agg_sum_decimal": ("SELECT l_returnflag, SUM(l_quantity) AS s FROM lineitem GROUP BY l_returnflag", None, "SELECT l_returnflag, CAST(SUM(CAST(l_quantity AS DECIMAL(18,2))) AS DECIMAL(28,2)) AS s FROM lineitem GROUP BY l_returnflag"),
     "agg_avg": ("SELECT o_orderstatus, AVG(o_custkey) AS a FROM orders GROUP BY o_orderstatus", {"a": "decimal(18,6)"}, "SELECT o_orderstatus, CAST(AVG(o_custkey) AS DECIMAL(18,6)) AS a FROM orders GROUP BY o_orderstatus"),
     "agg_by_brand": (
         "SELECT brand, COUNT(*) AS n, SUM(units_sold) AS s, AVG(price_unit) AS a FROM fmcg_sales GROUP BY brand",
@@ -111,7 +111,7 @@ _OWN: dict[str, tuple[str, dict[str, str] | None, str]] = {
     "full_pipeline": (
         "SELECT o.o_orderpriority, COUNT(*) AS n, SUM(l.l_quantity) AS total FROM lineitem l JOIN orders o ON l.l_orderkey = o.o_orderkey WHERE l.l_returnflag = 'R' GROUP BY o.o_orderpriority HAVING COUNT(*) > 100 ORDER BY total DESC",
         None,
-        "SELECT o.o_orderpriority, COUNT(*) AS n, SUM(CAST(l.l_quantity AS DECIMAL(18,2))) AS total FROM lineitem l JOIN orders o ON l.l_orderkey = o.o_orderkey WHERE l.l_returnflag = 'R' GROUP BY o.o_orderpriority HAVING COUNT(*) > 100 ORDER BY total DESC NULLS LAST",
+        "SELECT o.o_orderpriority, COUNT(*) AS n, CAST(SUM(CAST(l.l_quantity AS DECIMAL(18,2))) AS DECIMAL(28,2)) AS total FROM lineitem l JOIN orders o ON l.l_orderkey = o.o_orderkey WHERE l.l_returnflag = 'R' GROUP BY o.o_orderpriority HAVING COUNT(*) > 100 ORDER BY total DESC NULLS LAST",
     ),
     "category_totals": (
         "SELECT b.category, COUNT(*) AS n, SUM(s.units_sold) AS total FROM fmcg_sales s JOIN brands b ON s.brand = b.brand WHERE promotion_flag = 1 GROUP BY b.category HAVING COUNT(*) > 100 ORDER BY total DESC",
@@ -203,5 +203,5 @@ SQL: dict[str, str] = {
     "index_exact_hash": _EXACT,
     "index_residual": _EXACT_RESIDUAL,
     "index_range_btree": "SELECT o_orderkey, o_custkey FROM orders WHERE o_custkey > 10 AND o_custkey <= 50",
-    "csv_roundtrip": "SELECT c_mktsegment, COUNT(*) AS n, SUM(CAST(c_acctbal AS DECIMAL(18,2))) AS s, MIN(c_custkey) AS mn, MAX(c_name) AS mx FROM customer GROUP BY c_mktsegment",
+    "csv_roundtrip": "SELECT c_mktsegment, COUNT(*) AS n, CAST(SUM(CAST(c_acctbal AS DECIMAL(18,2))) AS DECIMAL(28,2)) AS s, MIN(c_custkey) AS mn, MAX(c_name) AS mx FROM customer GROUP BY c_mktsegment",
 }
