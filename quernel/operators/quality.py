@@ -201,20 +201,23 @@ def merge_profile_states(states: DataFrame, by: Sequence[str] = ()) -> DataFrame
             F.sum("n_invalid").alias("n_invalid"),
             F.when(F.col("is_number"), low).otherwise(F.min("min_value")).alias("min_value"),
             F.when(F.col("is_number"), high).otherwise(F.max("max_value")).alias("max_value"),
-            F.hll_union_agg("distinct_sketch").alias("distinct_sketch"),
-            F.kll_merge_agg_double("quantile_sketch").alias("quantile_sketch"),
+            F.when(F.count("distinct_sketch") > 0, F.hll_union_agg("distinct_sketch")).alias("distinct_sketch"),
+            F.when(F.count("quantile_sketch") > 0, F.kll_merge_agg_double("quantile_sketch")).alias("quantile_sketch"),
         )
     )
 
 
 def profile_metrics(states: DataFrame) -> DataFrame:
-    """null_share, invalid_share, distinct_estimate and median_estimate from profile states (NULL without values)."""
+    """null_share, invalid_share, distinct_estimate and median_estimate from profile states (NULL without values).
+
+    A median is of values other than NaN. Columns of nested types have no estimates.
+    """
     non_null = F.col("n_rows") - F.col("n_nulls")
     return states.withColumns(
         {
             "null_share": F.col("n_nulls") / F.when(F.col("n_rows") > 0, F.col("n_rows")),
             "invalid_share": F.col("n_invalid") / F.when(non_null > 0, non_null),
             "distinct_estimate": F.when(non_null > 0, F.hll_sketch_estimate("distinct_sketch")),
-            "median_estimate": F.when(F.col("quantile_sketch").isNotNull(), F.kll_sketch_get_quantile_double("quantile_sketch", F.lit(0.5))),
+            "median_estimate": F.when(F.kll_sketch_get_n_double("quantile_sketch") > 0, F.kll_sketch_get_quantile_double("quantile_sketch", F.lit(0.5))),
         }
     ).drop("distinct_sketch", "quantile_sketch")

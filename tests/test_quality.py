@@ -93,3 +93,10 @@ def test_profile_of_every_column(spark):
     assert (merged["i"].min_value, merged["i"].max_value) == ("1", "20")
     empty = {r.column_name: r for r in profile_metrics(profile_states(df.where("1 = 0"), rules=rules)).collect()}
     assert empty["i"].n_rows == 0 and empty["i"].null_share is None and empty["i"].distinct_estimate is None
+
+
+def test_numbers_without_values(spark):
+    df = spark.createDataFrame([("a", float("nan"), None), ("b", float("nan"), None)], "g string, d double, i long")
+    for states in (profile_states(df), merge_profile_states(profile_states(df, ["g"]))):
+        m = {r.column_name: r for r in profile_metrics(states).collect()}
+        assert m["d"].median_estimate is None and m["i"].median_estimate is None and m["d"].n_nulls == 0 and m["i"].distinct_estimate is None
