@@ -6,7 +6,8 @@ import argparse
 import datetime
 import sys
 import time
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
+from itertools import islice
 from pathlib import Path
 from typing import TextIO
 
@@ -17,8 +18,8 @@ from quernel.engine import Engine
 from quernel.errors import SqlParseError
 from quernel.functions.types import sql_type
 
-#: Rows that the prompt prints at most; LIMIT in the query says which.
-PRINTED_ROWS = 10_000
+#: Rows that are held and laid out at once. All are printed; a later block may be wider than those before it.
+BLOCK_ROWS = 10_000
 
 
 def cell(value: object) -> str:
@@ -31,12 +32,25 @@ def cell(value: object) -> str:
     return value.isoformat() if isinstance(value, datetime.date) else str(value)
 
 
-def format_table(names: list[str], rows: Iterable[Row]) -> str:
-    """Left-aligned columns under a rule."""
-    cells = [[cell(v) for v in r] for r in rows]
-    widths = [max(map(len, column)) for column in zip(names, *cells, strict=True)]
+def table_lines(names: list[str], rows: Iterable[Row]) -> Iterator[str]:
+    """Left-aligned columns under a rule, in blocks of ``BLOCK_ROWS`` rows."""
+    source, widths, first = iter(rows), [len(n) for n in names], True
     line = lambda values: " | ".join(v.ljust(w) for v, w in zip(values, widths, strict=True))
-    return "\n".join([line(names), "-+-".join("-" * w for w in widths), *map(line, cells)])
+    while True:
+        block = [[cell(v) for v in r] for r in islice(source, BLOCK_ROWS)]
+        if block:
+            widths = [max(w, *map(len, column)) for w, column in zip(widths, zip(*block, strict=True), strict=True)]
+        if first:
+            yield line(names)
+            yield "-+-".join("-" * w for w in widths)
+            first = False
+        yield from map(line, block)
+        if len(block) < BLOCK_ROWS:
+            return
+
+
+def format_table(names: list[str], rows: Iterable[Row]) -> str:
+    return "\n".join(table_lines(names, rows))
 
 
 class Repl:
@@ -98,20 +112,36 @@ class Repl:
             self.print_rows(result, took)
 
     def print_rows(self, df: DataFrame, took) -> None:
-        rows = df.limit(PRINTED_ROWS + 1).collect()
-        self.say(format_table(df.columns, rows[:PRINTED_ROWS]))
-        more = len(rows) > PRINTED_ROWS
-        n = min(len(rows), PRINTED_ROWS)
-        self.say(f"({'first ' * more}{n:,} row{'' if n == 1 else 's'} in {took()} ms)")
+        n = 0
+
+        def counted() -> Iterator[Row]:
+            nonlocal n
+            for row in df.toLocalIterator(prefetchPartitions=True):
+                n += 1
+                yield row
+
+        for line in table_lines(df.columns, counted()):
+            self.say(line)
+        self.say(f"({n:,} row{'' if n == 1 else 's'} in {took()} ms)")
+
+    def load(self, path: Path) -> None:
+        start = time.perf_counter()
+        table = self.engine.load_csv(str(path))
+        rows, columns = table.stats.row_count, len(table.frame.columns)
+        self.say(f"loaded '{table.name}': {rows:,} rows, {columns} columns ({round((time.perf_counter() - start) * 1000)} ms)")
 
 
 def files(arguments: list[str], data: str | None) -> list[Path]:
-    """The CSV files to load: those named, and all of ``data`` in order of their names."""
+    """The CSV files to load: those named, and all of ``data`` in order of their names; the folder "data" if neither is given."""
     found = [Path(a) for a in arguments]
-    if data is not None:
-        found += sorted(Path(data).glob("*.csv"))
-    elif not found and Path("data").is_dir():
-        found = sorted(Path("data").glob("*.csv"))
+    for path in found:
+        if not path.exists():
+            raise FileNotFoundError(f"no such CSV file: {path}")
+    if data is not None or not found:
+        folder = Path(data if data is not None else "data")
+        if not folder.is_dir():
+            raise FileNotFoundError(f"no such data folder: {folder}" if data is not None else "nothing to load: name CSV files or give --data DIR")
+        found += sorted(folder.glob("*.csv"))
     return found
 
 
@@ -120,12 +150,18 @@ def main(argv: list[str] | None = None) -> int:
     parser.add_argument("files", nargs="*", help="CSV files; each becomes a table of its name")
     parser.add_argument("--data", help="a folder whose CSV files are loaded (default: data, if there)")
     options = parser.parse_args(argv)
+    try:
+        paths = files(options.files, options.data)
+    except FileNotFoundError as e:
+        print(f"error: {e}", file=sys.stderr)
+        return 2
     spark = SparkSession.builder.appName("quernel").config("spark.ui.showConsoleProgress", "false").getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     repl = Repl(Engine(spark))
-    for path in files(options.files, options.data):
-        table = repl.engine.load_csv(str(path))
-        repl.say(f"loaded {table.name}")
+    repl.say("quernel: SQL over CSV files")
+    for path in paths:
+        repl.load(path)
+    repl.say("type a query, or .exit to leave\n")
     repl.run(sys.stdin)
     return 0
 

@@ -10,6 +10,7 @@ from quernel.catalog import Catalog, IndexEntry, Table
 from quernel.errors import BindError
 from quernel.plans.binder import Binder, Query
 from quernel.plans.explain import outline
+from quernel.plans.scratch import materialize
 from quernel.sources.csv import load_csv, table_name
 from quernel.sql import parse, parse_select
 from quernel.sql.ast import CreateIndex, Select
@@ -24,7 +25,10 @@ class Engine:
         self.use_indexes = use_indexes
 
     def load_csv(self, path: str, name: str | None = None) -> Table:
-        return self.catalog.add_table(name or table_name(path), load_csv(self.spark, path))
+        """Parse the file once: queries read the typed copy that is written here. Malformed rows raise here."""
+        typed = load_csv(self.spark, path)
+        kept = materialize(typed.toDF(*[f"c{i}" for i in range(len(typed.columns))]), "csv").toDF(*typed.columns)
+        return self.catalog.add_table(name or table_name(path), kept)
 
     def bind(self, sql: str) -> Query:
         return Binder(self.catalog, self.use_indexes).bind(parse_select(sql))

@@ -73,15 +73,18 @@ def hash_aggregate(df: DataFrame, keys: Sequence[str], aggregates: Mapping[str,
 
 
 def parallel_hash_aggregate(df: DataFrame, keys: Sequence[str], aggregates: Mapping[str, AggregateSpec], degree: int, condition: Column | None = None, double_scale: int | None = None) -> DataFrame:
-    """``hash_aggregate`` in ``degree`` partitions: each filters and aggregates its own rows before the shuffle.
+    """``hash_aggregate`` in exactly ``degree`` partitions: each filters and aggregates its own rows before the shuffle.
 
-    Fewer partitions than the input has are made without moving rows; more are not made, as only a shuffle of all rows
-    could, which costs more than it gives.
+    Fewer partitions than the input has are made without moving rows. More are made by moving the columns in use of the
+    rows that ``condition`` keeps, so a degree far above that of the scan pays only where the work on a row does.
     """
     if degree < 1:
         raise ValueError("degree must be positive")
     rows = df if condition is None else df.where(condition)
-    return hash_aggregate(rows.coalesce(degree), keys, aggregates, double_scale)
+    used = [*keys, *dict.fromkeys(c for _, c in aggregates.values() if c is not None and c not in keys)]
+    rows = rows.select([F.col(f"`{c}`") for c in used])
+    rows = rows.repartition(degree) if rows._jdf.queryExecution().toRdd().getNumPartitions() < degree else rows.coalesce(degree)
+    return hash_aggregate(rows, keys, aggregates, double_scale)
 
 
 def sort(df: DataFrame, keys: Sequence[str | tuple[str, bool]]) -> DataFrame:

@@ -11,8 +11,11 @@ _IN_PLACE = frozenset({"Project", "Filter", "FileScan", "ColumnarToRow", "Genera
 
 
 def only_scans(df: DataFrame) -> bool:
-    """Whether ``df`` is made of file scans without a shuffle, so that its partitions are the same in every run."""
-    plan = df._jdf.queryExecution().executedPlan().toString()
+    """Whether ``df`` is made of file scans and deterministic expressions without a shuffle: its partitions are the same in every run."""
+    execution = df._jdf.queryExecution()
+    if not execution.optimizedPlan().deterministic():
+        return False
+    plan = execution.executedPlan().toString()
     return {m[1] for m in re.finditer(r"^[\s:+\-*]*(?:\(\d+\) )?([A-Za-z]+)", plan, re.MULTILINE)} <= _IN_PLACE
 
 

@@ -3,13 +3,14 @@
 Every Arrow batch of lines is indexed as one byte buffer: masks of quotes and delimiters, and the parity of the number
 of quotes since the start of the line, tell which delimiters separate fields and whether the quoting is right, for all
 lines of the batch at once. Counts and types are checked on the resulting offsets; a line is a typed row or has the
-first reason against it. One pass, no shuffle, no line is looked at by itself but for letters outside ASCII.
+first reason against it. One pass, no shuffle, no line is looked at by itself.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
+from decimal import Decimal
 
 import numpy as np
 import pyarrow as pa
@@ -28,9 +29,9 @@ _REPLACEMENT = b"\xef\xbf\xbd"
 class Field:
     """A field of the record. An empty field is NULL and valid, whatever the type.
 
-    ``kind`` is "text" or "int". An int may have blanks (U+0020) at both ends and a sign, is made of ASCII digits and
-    lies in [low, high]; after leading zeros it has 18 characters at most. With ``name_like`` a text has at least one letter, no control character (below U+0020, or
-    U+007F) and no U+FFFD.
+    ``kind`` is "text" or "int". An int may have blanks (U+0020) at both ends, a sign and leading zeros, is made of
+    ASCII digits and lies in [low, high], which is within 64 bits. With ``name_like`` a text has at least one letter, no
+    control character (below U+0020, or U+007F) and no U+FFFD.
     """
 
     name: str
@@ -128,10 +129,19 @@ def _line_index(places: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.nd
 def _integers(text: pa.StringArray, field: Field) -> tuple[pa.Array, np.ndarray]:
     trimmed = pc.ascii_trim(text, " ")
     shaped = pc.match_substring_regex(trimmed, r"^[+-]?[0-9]+$")
-    digits = pc.replace_substring_regex(trimmed, r"^([+-]?)0*([0-9]+)$", r"\1\2")
-    short = pc.and_(shaped, pc.less_equal(pc.binary_length(digits), 18))
-    number = pc.if_else(short, pc.replace_substring_regex(digits, r"^\+", ""), pa.scalar(None, pa.string())).cast(pa.int64())
-    fits = pc.fill_null(pc.and_(pc.greater_equal(number, field.low), pc.less_equal(number, field.high)), False)
+    signed = pc.replace_substring_regex(trimmed, r"^(-?)\+?0*([0-9]+)$", r"\1\2")
+    none = pa.scalar(None, pa.string())
+    # 18 characters are always within 64 bits, 20 at most may be; more digits never are.
+    length = pc.binary_length(signed)
+    short = pc.and_(shaped, pc.less_equal(length, 18))
+    number = pc.if_else(short, signed, none).cast(pa.int64())
+    edge = pc.and_(shaped, pc.and_(pc.greater(length, 18), pc.less_equal(length, 20)))
+    if pc.any(edge).as_py():
+        wide = pc.if_else(edge, signed, none).cast(pa.decimal128(20, 0))
+        low, high = (pa.scalar(Decimal(x), pa.decimal128(20, 0)) for x in (-(2**63), 2**63 - 1))
+        held = pc.and_(pc.greater_equal(wide, low), pc.less_equal(wide, high))
+        number = pc.coalesce(number, pc.if_else(held, wide, pa.scalar(None, wide.type)).cast(pa.int64()))
+    fits = pc.fill_null(pc.and_(pc.greater_equal(number, max(field.low, -(2**63))), pc.less_equal(number, min(field.high, 2**63 - 1))), False)
     empty = pc.equal(pc.binary_length(trimmed), 0)
     bad = pc.invert(pc.or_(empty, fits)).to_numpy(zero_copy_only=False)
     return pc.if_else(fits, number, pa.scalar(None, pa.int64())), bad
@@ -144,8 +154,9 @@ def _not_a_name(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, text: pa
     high = np.flatnonzero(data >= 0x80)
     has_letter = _any_between(ascii_letters, starts, ends)
     has_high = _any_between(high, starts, ends)
-    for i in np.flatnonzero(~has_letter & has_high):
-        has_letter[i] = any(map(str.isalpha, text[i].as_py()))
+    unsure = np.flatnonzero(~has_letter & has_high)
+    if len(unsure):
+        has_letter[unsure] = pc.match_substring_regex(text.take(pa.array(unsure)), r"\p{L}").to_numpy(zero_copy_only=False)
     replaced = pc.match_substring(text, _REPLACEMENT.decode()).to_numpy(zero_copy_only=False)
     return (ends > starts) & (~has_letter | _any_between(control, starts, ends) | replaced)
 

@@ -107,3 +107,14 @@ def test_table_of_lines(spark):
 def test_lines_of_many_lengths():
     r = random.Random(1)
     check(["".join(r.choice('aé",, 12') for _ in range(r.choice([1, 5, 30, 300]))) for _ in range(2000)])
+
+
+def test_integers_of_64_bits():
+    fields = (Field("n", "int"), Field("m", "int", -(10**18), 2**63 - 1))
+    ok = [2**63 - 1, -(2**63), 10**18, -(10**18), 999_999_999_999_999_999, -123456789012345678, 0]
+    bad = [str(2**63), str(-(2**63) - 1), "9" * 19, "-" + "9" * 19, "1" + "0" * 19, "-1" + "0" * 19, "9" * 50, "-", "1 2"]
+    texts = [t for v in ok for t in (str(v), f" {v} ", f"{'-' * (v < 0)}000{abs(v)}", *([f"+{v}"] if v >= 0 else []))]
+    reason, (n, _) = parse_batch(pa.array([f"{t}," for t in texts + bad]), fields)
+    assert n.to_pylist() == [int(t) for t in texts] + [None] * len(bad)
+    assert reason.to_pylist() == [None] * len(texts) + ["value"] * len(bad)
+    assert parse_batch(pa.array([f",{-(10**18) - 1}", f",{2**63 - 1}"]), fields)[0].to_pylist() == ["value", None]

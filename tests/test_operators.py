@@ -1,9 +1,11 @@
 import io
+from decimal import Decimal
 
 import pytest
 from pyspark.sql import functions as F
 
-from quernel.cli import Repl, files, format_table
+from quernel import cli
+from quernel.cli import Repl, files, format_table, main
 from quernel.engine import Engine
 from quernel.operators import relational as ops
 
@@ -64,7 +66,7 @@ def test_aggregate_edges(tables, spark):
 def test_prompt(spark, tmp_path):
     (tmp_path / "b.csv").write_text("brand,units,day,active\nx,1,2023-01-05,true\ny,,,\n")
     (tmp_path / "a.csv").write_text("k\n1\n")
-    assert [p.name for p in files([], str(tmp_path))] == ["a.csv", "b.csv"] and [p.name for p in files(["z.csv"], None)] == ["z.csv"]
+    assert [p.name for p in files([], str(tmp_path))] == ["a.csv", "b.csv"] and [p.name for p in files([str(tmp_path / "b.csv")], None)] == ["b.csv"]
     engine, out = Engine(spark), io.StringIO()
     for p in files([], str(tmp_path)):
         engine.load_csv(str(p))
@@ -76,3 +78,47 @@ def test_prompt(spark, tmp_path):
     assert "SeqScan on b" in text and "created BPlusTree index on b(brand) (" in text and "syntax error: " in text and "error: unknown column 'x'" in text and "(1 row in " in text
     assert text.count("sql> ") == len(lines) - 1
     assert format_table(["a"], []) == "a\n-"
+
+
+def test_arguments(tmp_path, monkeypatch, capsys):
+    monkeypatch.chdir(tmp_path)
+    for arguments in (["nothing.csv"], ["--data", "nowhere"], []):
+        assert main(arguments) == 2 and capsys.readouterr().err.startswith("error: n")
+    (tmp_path / "data").mkdir()
+    (tmp_path / "data" / "x.csv").write_text("a\n")
+    assert [p.name for p in files([], None)] == ["x.csv"]
+
+
+def test_load_line_and_whole_results(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(cli, "BLOCK_ROWS", 7)
+    (tmp_path / "t.csv").write_text("k,v\n" + "".join(f"{i},{'x' * (i // 10)}\n" for i in range(45)))
+    out = io.StringIO()
+    repl = Repl(Engine(spark), out)
+    repl.load(tmp_path / "t.csv")
+    (tmp_path / "t.csv").unlink()  # queries read the typed copy
+    repl.run(["SELECT k, v FROM t ORDER BY k"], prompt=False)
+    lines = out.getvalue().splitlines()
+    assert lines[0].startswith("loaded 't': 45 rows, 2 columns (") and lines[-2].startswith("(45 rows in ")
+    assert [int(x.split(" | ")[0]) for x in lines[3:-2]] == list(range(45))
+    assert lines[3] == "0 | NULL" and lines[-3] == "44 | xxxx"
+
+
+def test_sums_are_exact(spark):
+    ends = [2**63 - 1, -(2**63), 2**42 - 1, -(2**42), -1, 1, 0, 2**21, None]
+    df = spark.createDataFrame([(v, Decimal(v % 10**18 if v is not None else 0).scaleb(-9), float(i) / 100, i - 4, Decimal(i).scaleb(-18)) for i, v in enumerate(ends)], "a bigint, b decimal(18,9), c double, d smallint, e decimal(18,18)")
+    specs = {f"{f}_{c}": (f, c) for f in ("SUM", "AVG") for c in "abcde"}
+    r = ops.hash_aggregate(df, [], specs, 2).first().asDict()
+    known = [v for v in ends if v is not None]
+    assert r["SUM_a"] == sum(known) and abs(r["AVG_a"] - Decimal(sum(known)) / len(known)) < Decimal("1e-6")
+    assert r["SUM_b"] == sum(Decimal(v % 10**18).scaleb(-9) for v in known) and r["SUM_c"] == Decimal("0.36") and r["SUM_d"] == 0 and r["SUM_e"] == Decimal(36).scaleb(-18)
+    types = dict(ops.hash_aggregate(df, [], specs, 2).dtypes)
+    assert types["SUM_a"] == "decimal(29,0)" and types["SUM_b"] == "decimal(28,9)" and types["SUM_c"] == "decimal(28,2)"
+    most = spark.range(0, 3000, 1, 3).select(F.lit(2**63 - 1).alias("x"), F.lit(-(2**63)).alias("y"))
+    assert tuple(ops.hash_aggregate(most, [], {"x": ("SUM", "x"), "y": ("SUM", "y")}).first()) == (3000 * (2**63 - 1), -3000 * 2**63)
+
+
+def test_degree_is_kept(spark):
+    df = spark.range(0, 100, 1, 5).selectExpr("id % 3 AS k", "id AS v")
+    for degree in (2, 5, 12):
+        plan = ops.parallel_hash_aggregate(df, ["k"], {"s": ("SUM", "v")}, degree)._jdf.queryExecution().toString()
+        assert ("RoundRobinPartitioning(12)" in plan) == (degree == 12) and ("Coalesce 2" in plan) == (degree == 2)

@@ -12,6 +12,7 @@ def test_scans_and_shuffles_are_told_apart(spark, tmp_path):
     df = spark.read.parquet(path)
     assert only_scans(df.where("id > 3").select(F.explode(F.array("id", "id"))).union(df))
     assert not any(map(only_scans, (df.repartition(2), df.groupBy("id").count(), df.limit(3), spark.range(3), spark.createDataFrame([(1,)], "x int"), df.join(df.select("id"), "id"))))
+    assert not only_scans(df.where(F.rand() < 0.5)) and not only_scans(df.select(F.monotonically_increasing_id()))
     cores = spark.sparkContext.defaultParallelism
     assert spread(df).rdd.getNumPartitions() == cores and sorted(r.id for r in spread(df).collect()) == list(range(100))
     spark.range(100).repartition(3 * cores).write.mode("overwrite").option("compression", "none").parquet(path)
