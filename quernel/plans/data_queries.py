@@ -63,7 +63,8 @@ def _brand_references(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, Data
 
 
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return orphan_rows(*_brand_references(spark, sf_dir)).select(F.col("ref").alias("table_name"), "row_id").distinct()
+    """One shuffle, of the orphans: repeated rows of a sale with another brand or date count once too."""
+    return orphan_rows(*_brand_references(spark, sf_dir), distinct_by=("ref", "row_id")).select(F.col("ref").alias("table_name"), "row_id")
 
 
 def p4_report(spark: SparkSession, sf_dir: str) -> DataFrame:

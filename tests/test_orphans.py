@@ -1,6 +1,7 @@
 import datetime
 import random
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from quernel.operators import orphans
@@ -62,3 +63,32 @@ def test_only_suspects_survive_and_report(spark):
     assert sorted((r.ref, r.key) for r in missing_keys(refs, parents).collect()) == [("t", "b"), ("t", "b"), ("t", "c"), ("u", "b")]
     report = sorted(map(tuple, orphan_report(orphan_rows(refs, parents)).collect()), key=str)
     assert report == sorted([("t", D(2023, 1, 1), 2, 1), ("t", None, 1, 1), ("u", D(2023, 2, 1), 1, 1)], key=str)
+
+
+def test_blocks_take_the_shortest_container():
+    r = np.random.default_rng(1)
+    cases = {orphans.PLACES: [np.array([5]), np.array([0, 2, 9, 32767])], orphans.RUNS: [np.arange(32768), np.arange(100, 900), np.r_[0:50, 7000:7100]], orphans.BITS: [np.flatnonzero(r.random(32768) < 0.5)]}
+    for container, sets in cases.items():
+        for places in sets:
+            kind, block = orphans.compress(places)
+            assert kind == container or len(places) == 1
+            assert len(block) <= min(4096, 2 * len(places)) or len(places) == 1
+            assert np.flatnonzero(np.unpackbits(orphans.decompress_to_bits(kind, block), bitorder="little")).tolist() == places.tolist()
+
+
+def test_too_many_survivors_for_a_broadcast(spark, monkeypatch):
+    monkeypatch.setattr(orphans, "BROADCAST_BYTES", 0)
+    parents = [("a", D(2023, 1, 10), D(2023, 3, 1))]
+    check(spark, [("t", i, k, d) for i, (k, d) in enumerate((k, d) for k in ("a", "b", None) for d in (None, D(2023, 1, 9), D(2023, 1, 10), D(2023, 3, 1)) for _ in range(50))], parents)
+
+
+def test_rows_do_not_move(spark):
+    refs = spark.createDataFrame([("t", i, "b", D(2023, 1, 5)) for i in range(50)], REFS)
+    plan = orphan_rows(refs, spark.createDataFrame([("a", D(2022, 1, 1), None)], PARENTS))._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and plan.count("Exchange hashpartitioning") == 1
+
+
+def test_distinct_by(spark):
+    refs = spark.createDataFrame([("t", 1, "x", D(2023, 1, 5)), ("t", 1, "y", D(2023, 1, 5)), ("t", 1, "x", None)], REFS)
+    parents = spark.createDataFrame([], PARENTS)
+    assert [tuple(r) for r in orphan_rows(refs, parents, ("ref", "row_id")).collect()] == [("t", 1)]
