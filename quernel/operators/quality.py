@@ -2,8 +2,8 @@
 
 Constraints are declared once per column (``Rule``) and compiled into the aggregate expressions of one shared scan.
 The scan yields *states* per load: rows whose counts simply add up, so the states of loads, partitions or days can be
-stored, put together later (``merge_frequency_states`` / ``merge_profile_states``) and need never be computed again
-for data that has been seen. Two kinds exist:
+stored (``KeptStates``), put together later (``merge_frequency_states`` / ``merge_profile_states``) and need never be
+computed again for data that has been seen. Two kinds exist:
 
 * frequency states (load, column, value, n): exact, for columns of a small domain such as flags, years or quantities;
   a load holds at most as many of them as the column has distinct values, however many rows it has;
@@ -15,11 +15,12 @@ it in the same feed, ``control_limits`` tests them against the mean and deviatio
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -58,20 +59,71 @@ def frequency_states(df: DataFrame, by: str, rules: Sequence[Rule]) -> DataFrame
     """
     if len({r.column for r in rules}) != len(rules):
         raise ValueError("a column has one rule")
-    pairs = [F.struct(F.lit(r.column).alias("column_name"), F.col(r.column).cast("long").alias("value")) for r in rules]
-    return (
-        df.select(F.col(by).alias(by), F.explode(F.array(*pairs)).alias("_p"))
-        .groupBy(by, F.col("_p.column_name").alias("column_name"), F.col("_p.value").alias("value"))
-        .agg(F.count(F.lit(1)).alias("n"))
-    )
+    names = [f"_v{i}" for i in range(len(rules))]
+    rows = df.select(F.col(by).alias("_by"), *[F.col(r.column).cast("long").alias(n) for n, r in zip(names, rules, strict=True)])
+    counted = rows.groupingSets([["_by", n] for n in names], "_by", *names).agg(F.grouping_id().alias("_set"), F.count(F.lit(1)).alias("n"))
+    # A set bit of grouping_id is a column that is not in the set; the first column is the highest bit.
+    every = (1 << len(names)) - 1
+    of = lambda values: reduce(lambda acc, i: F.when(F.col("_set") == (every ^ 1 << (len(names) - 1 - i)), values[i]).otherwise(acc), range(len(names)), F.lit(None))
+    return counted.select(F.col("_by").alias(by), of([F.lit(r.column) for r in rules]).alias("column_name"), of([F.col(n) for n in names]).alias("value"), "n")
 
 
 def merge_frequency_states(states: Sequence[DataFrame], by: str) -> DataFrame:
-    """Put the states of separate scans together."""
+    """Put the states of separate scans together, which may have rows of the same load."""
     union = reduce(DataFrame.unionByName, states)
     return union.groupBy(by, "column_name", "value").agg(F.sum("n").alias("n"))
 
 
+class KeptStates:
+    """Frequency states of a table that arrives in loads, kept in a folder and added to load by load.
+
+    A load is taken as complete when its first row is seen: ``update`` computes states for the loads that the folder
+    does not hold yet and reads other rows of no column but ``by``. NULL in ``by`` is a load too. Each update is a
+    folder of its own, written whole or not at all, so one that failed is simply run again.
+    """
+
+    #: Loads that are named in the filter of an update, so that it reaches the files; more are joined.
+    NAMED = 1000
+
+    def __init__(self, spark: SparkSession, path: str, by: str, rules: Sequence[Rule]):
+        self.spark, self.path, self.by, self.rules = spark, path.rstrip("/"), by, tuple(rules)
+
+    def _updates(self) -> list[str]:
+        folder = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.path)
+        fs = folder.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+        if not fs.exists(folder):
+            return []
+        jvm_path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+        names = [s.getPath().toString() for s in fs.listStatus(folder) if s.isDirectory()]
+        return sorted(n for n in names if fs.exists(jvm_path(f"{n}/_SUCCESS")))
+
+    def states(self) -> DataFrame | None:
+        """The states of all updates put together; None before the first."""
+        found = self._updates()
+        if not found:
+            return None
+        kept = self.spark.read.parquet(*found)
+        return kept if len(found) == 1 else merge_frequency_states([kept], self.by)
+
+    def new_rows(self, df: DataFrame) -> DataFrame:
+        """Rows of loads that are not kept yet."""
+        found = self._updates()
+        if not found:
+            return df
+        kept = self.spark.read.parquet(*found).select(F.col(self.by).alias("_kept")).distinct()
+        new = df.select(F.col(self.by).alias("_new")).distinct().join(kept, F.col("_new").eqNullSafe(F.col("_kept")), "left_anti")
+        named = [r[0] for r in new.limit(self.NAMED + 1).collect()]
+        if len(named) > self.NAMED:
+            return df.join(new, F.col(self.by).eqNullSafe(F.col("_new")), "left_semi")
+        values = [v for v in named if v is not None]
+        wanted = F.col(self.by).isin(*values) if values else F.lit(False)
+        return df.where(wanted | F.col(self.by).isNull() if len(values) < len(named) else wanted)
+
+    def update(self, df: DataFrame) -> None:
+        new = self.new_rows(df.select(self.by, *[r.column for r in self.rules if r.column != self.by]))
+        frequency_states(new, self.by, self.rules).write.parquet(f"{self.path}/update-{len(self._updates()):08d}-{uuid.uuid4().hex}")
+
+
 def frequency_metrics(states: DataFrame, by: str, rules: Sequence[Rule]) -> DataFrame:
     """Exact metrics per (``by``, column_name) from frequency states.
 
@@ -129,20 +181,24 @@ def with_previous_load(metrics: DataFrame, loads: DataFrame) -> DataFrame:
     return joined.withColumns({f"prev_{m}": F.when(is_before, F.lag(m).over(same_column)) for m in COMPARED}).drop("_before_no")
 
 
-def control_limits(metrics: DataFrame, metric: str, history: int = 8, width: float = 3.0, least: int = 4) -> DataFrame:
-    """Loads whose ``metric`` leaves mean +/- ``width`` standard deviations of the up to ``history`` loads before.
+def control_limits(metrics: DataFrame, tested: str | Sequence[str], history: int = 8, width: float = 3.0, least: int = 4, by: Sequence[str] = ("column_name",)) -> DataFrame:
+    """Loads of which a metric leaves mean +/- ``width`` standard deviations of the up to ``history`` loads before.
 
-    ``metrics`` is the result of ``with_previous_load``. Loads with fewer than ``least`` known values before them are
-    never flagged; neither are loads that ``loads`` does not place. Equal values before (deviation 0) make any other
-    value a case.
+    ``metrics`` is the result of ``with_previous_load``, ``tested`` one of its columns or several. A history is that of
+    one feed, metric and value of the ``by`` columns. Loads with fewer than ``least`` known values before them are never
+    flagged; neither are loads that ``loads`` does not place. After equal values (deviation 0) any other value is a
+    case; differences of one part in a billion are none.
     """
-    before = Window.partitionBy("column_name", "feed").orderBy("load_no").rowsBetween(-history, -1)
-    value = F.col(metric)
+    names = [tested] if isinstance(tested, str) else list(tested)
+    rows = F.inline(F.array(*[F.struct(F.lit(n).alias("metric"), F.col(n).cast("double").alias("value")) for n in names]))
+    before = Window.partitionBy(*by, "metric", "feed").orderBy("load_no").rowsBetween(-history, -1)
+    value = F.col("value")
     return (
         metrics.where(F.col("feed").isNotNull())
+        .select(*by, "load_id", "feed", "load_no", rows)
         .withColumns({"_mean": F.avg(value).over(before), "_sd": F.stddev_samp(value).over(before), "_known": F.count(value).over(before)})
-        .where((F.col("_known") >= least) & (F.abs(value - F.col("_mean")) > F.lit(width) * F.col("_sd")))
-        .select("column_name", "load_id", F.lit(metric).alias("metric"), value.alias("value"), F.col("_mean").alias("expected"), F.col("_sd").alias("deviation"))
+        .where((F.col("_known") >= least) & (F.abs(value - F.col("_mean")) > F.lit(width) * F.col("_sd") + F.lit(1e-9) * F.greatest(F.lit(1.0), F.abs("_mean"))))
+        .select(*by, "load_id", "metric", "value", F.col("_mean").alias("expected"), F.col("_sd").alias("deviation"))
     )
 
 

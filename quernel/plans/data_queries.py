@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quernel.operators.key_chunks import KeyOffsets, chunked_aggregate, heavy_keys
+from quernel.operators.key_chunks import chunked_aggregate, heavy_keys
 from quernel.operators.orphans import orphan_report, orphan_rows
-from quernel.operators.quality import Rule, control_limits, frequency_metrics, frequency_states, profile_metrics, profile_states, with_previous_load
+from quernel.operators.quality import KeptStates, Rule, control_limits, frequency_metrics, merge_profile_states, profile_metrics, profile_states, with_previous_load
+from quernel.plans.scratch import materialize, new_path
 from quernel.sources.delimited import Field, parse_lines
 from quernel.sources.parquet import read_parquet
 
@@ -20,16 +21,19 @@ SALES_RULES = (Rule("units_sold", low=0, high=20000), Rule("promotion_flag", all
 BRAND_RULES = (Rule("launch_year", low=1950, high=2024),)
 
 
-def _load_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    parts = []
+def _load_metrics(spark: SparkSession, sf_dir: str, states: str | None = None) -> DataFrame:
+    """Metrics from the states kept in the folder ``states``, to which loads that it lacks are added first."""
+    folder, parts = states or new_path(spark, "load-states"), []
     for name, rules in (("fmcg_sales", SALES_RULES), ("brands", BRAND_RULES)):
-        states = frequency_states(_table(spark, sf_dir, name), "load_id", rules)
-        parts.append(with_previous_load(frequency_metrics(states, "load_id", rules), _table(spark, sf_dir, "loads")).withColumn("table_name", F.lit(name)))
+        kept = KeptStates(spark, f"{folder}/{name}", "load_id", rules)
+        kept.update(_table(spark, sf_dir, name))
+        metrics = frequency_metrics(kept.states(), "load_id", rules)
+        parts.append(with_previous_load(metrics, _table(spark, sf_dir, "loads")).withColumn("table_name", F.lit(name)))
     return parts[0].unionByName(parts[1])
 
 
-def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    m = _load_metrics(spark, sf_dir)
+def p2_found(spark: SparkSession, sf_dir: str, states: str | None = None) -> DataFrame:
+    m = _load_metrics(spark, sf_dir, states)
     now, before = F.col("valid_median"), F.col("prev_valid_median")
     shift = (
         F.when(F.col("column_name") == "units_sold", (now > 2 * before) | (before > 2 * now))
@@ -46,14 +50,24 @@ def p2_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     return m.select("table_name", "column_name", "load_id", "n_rows", "n_nulls", "n_invalid", "n_distinct", "min_value", "max_value", "valid_median", "prev_valid_median")
 
 
+#: Metrics whose history is tested.
+CONTROLLED = ("null_share", "invalid_share", "valid_mean", "valid_median")
+
+
 def p2_control(spark: SparkSession, sf_dir: str) -> DataFrame:
-    m = _load_metrics(spark, sf_dir).where(F.col("table_name") == "fmcg_sales")
-    return control_limits(m, "valid_median").select("column_name", "load_id", "metric", "value")
+    m = _load_metrics(spark, sf_dir)
+    return control_limits(m, CONTROLLED, by=("table_name", "column_name")).select("table_name", "column_name", "load_id", "metric", F.round("value", 9).alias("value"))
+
+
+#: Besides those of the loads, patterns of whole values.
+PATTERN_RULES = (Rule("sku", pattern="[A-Z]{2}-([0-9]{3}|[0-9]{7})"), Rule("region", pattern="[A-Z]{2}-[A-Za-z]+"), Rule("pack_type", pattern="[A-Z][a-z]+"))
 
 
 def p2_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    states = profile_states(_table(spark, sf_dir, "fmcg_sales"), rules=SALES_RULES)
-    return profile_metrics(states).select("column_name", "n_rows", "n_nulls", "n_invalid", "min_value", "max_value")
+    """Every column of the table, from the merged states of its months."""
+    sales = _table(spark, sf_dir, "fmcg_sales")
+    monthly = profile_states(sales.withColumn("_month", F.trunc("date", "month")), ("_month",), SALES_RULES + PATTERN_RULES)
+    return profile_metrics(merge_profile_states(monthly)).select("column_name", "n_rows", "n_nulls", "n_invalid", "min_value", "max_value")
 
 
 def _brand_references(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
@@ -96,13 +110,10 @@ def _key_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
         {"n": F.count(F.lit(1)), "u": F.sum(F.col("units_sold").cast("decimal(20,0)"))},
         {"n_rows": F.sum("n"), "units": F.sum("u").cast("bigint")},
         CHUNK_ROWS,
-        KeyOffsets(keyed, ("column_name", "key_value")),
     )
 
 
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from quernel.plans.scratch import materialize
-
     totals = materialize(_key_totals(spark, sf_dir), "key-totals")
     return heavy_keys(totals, ("column_name",), "n_rows", 3).where(F.col("key_value").isNotNull()).select("column_name", "key_value")
 
@@ -150,7 +161,7 @@ WITH k AS (SELECT 'sku' AS column_name, sku AS key_value, units_sold FROM fmcg_s
 t AS (SELECT column_name, key_value, COUNT(*) AS n_rows, CAST(SUM(units_sold) AS BIGINT) AS units FROM k GROUP BY column_name, key_value)
 """
 _SALES_COLUMNS = ("sale_id load_id date sku brand category segment channel region pack_type price_unit promotion_flag delivery_days stock_available delivered_qty units_sold").split()
-_INVALID = {"units_sold": "units_sold NOT BETWEEN 0 AND 20000", "promotion_flag": "promotion_flag NOT IN (0, 1)"}
+_INVALID = {"units_sold": "units_sold NOT BETWEEN 0 AND 20000", "promotion_flag": "promotion_flag NOT IN (0, 1)"} | {r.column: f"NOT regexp_full_match({r.column}, '{r.pattern}')" for r in PATTERN_RULES}
 
 SQL = {
     "p2_found": _METRICS + """
@@ -160,10 +171,12 @@ UNION ALL SELECT table_name, column_name, load_id, 'shift' FROM c WHERE CASE col
   WHEN 'units_sold' THEN valid_median > 2 * prev_valid_median OR prev_valid_median > 2 * valid_median
   WHEN 'promotion_flag' THEN ABS(valid_mean - prev_valid_mean) > 0.253 ELSE ABS(valid_median - prev_valid_median) > 8 END""",
     "p2_profile": _METRICS + "SELECT table_name, column_name, load_id, n_rows, n_nulls, n_invalid, n_distinct, min_value, max_value, valid_median, prev_valid_median FROM c",
-    "p2_control": _METRICS + """, w AS (
-  SELECT column_name, load_id, valid_median AS value, AVG(valid_median) OVER h AS mean, STDDEV_SAMP(valid_median) OVER h AS sd, COUNT(valid_median) OVER h AS known
-  FROM c WHERE table_name = 'fmcg_sales' AND feed IS NOT NULL WINDOW h AS (PARTITION BY column_name, feed ORDER BY load_no ROWS BETWEEN 8 PRECEDING AND 1 PRECEDING))
-SELECT column_name, load_id, 'valid_median' AS metric, value FROM w WHERE known >= 4 AND ABS(value - mean) > 3 * sd""",
+    "p2_control": _METRICS + """, l AS (
+  SELECT table_name, column_name, load_id, feed, load_no, UNNEST([{'metric': 'null_share', 'value': null_share}, {'metric': 'invalid_share', 'value': n_invalid / NULLIF(n_rows - n_nulls, 0)},
+    {'metric': 'valid_mean', 'value': valid_mean}, {'metric': 'valid_median', 'value': valid_median}], recursive := true) FROM c WHERE feed IS NOT NULL), w AS (
+  SELECT *, AVG(value) OVER h AS mean, STDDEV_SAMP(value) OVER h AS sd, COUNT(value) OVER h AS known
+  FROM l WINDOW h AS (PARTITION BY table_name, column_name, metric, feed ORDER BY load_no ROWS BETWEEN 8 PRECEDING AND 1 PRECEDING))
+SELECT table_name, column_name, load_id, metric, ROUND(value, 9) AS value FROM w WHERE known >= 4 AND ABS(value - mean) > 3 * sd + 1e-9 * GREATEST(1, ABS(mean))""",
     "p2_columns": " UNION ALL ".join(
         f"SELECT '{c}' AS column_name, COUNT(*) AS n_rows, COUNT(*) - COUNT({c}) AS n_nulls, COUNT({c}) FILTER (WHERE {_INVALID.get(c, 'FALSE')}) AS n_invalid, "
         f"CAST(MIN({c}) AS VARCHAR) AS min_value, CAST(MAX({c}) AS VARCHAR) AS max_value FROM fmcg_sales"

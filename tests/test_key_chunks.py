@@ -4,6 +4,7 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
+from quernel.operators import key_chunks
 from quernel.operators.key_chunks import KeyOffsets, _stable, chunked_aggregate, heavy_keys
 
 
@@ -22,7 +23,7 @@ def table(spark, tmp_path_factory):
 
 def test_positions_are_a_permutation_in_key_order(table):
     rows, df = table
-    numbered = KeyOffsets(df, ["key"]).number(100).collect()
+    numbered = KeyOffsets(df, ["key"], 100, every_key=True).number().collect()
     assert sorted(r._pos for r in numbered) == list(range(len(rows)))
     in_order = [r.key for r in sorted(numbered, key=lambda r: r._pos)]
     assert in_order == sorted((k for k, _ in rows), key=lambda k: (k is not None, k or ""))
@@ -30,12 +31,34 @@ def test_positions_are_a_permutation_in_key_order(table):
     assert Counter((r.key, r.v) for r in numbered) == Counter(rows)
 
 
+def test_only_heavy_keys_have_positions(table):
+    rows, df = table
+    sizes = Counter(k for k, _ in rows)
+    heavy = {k for k, n in sizes.items() if n > 250}
+    assert len(heavy) == 4
+    offsets = KeyOffsets(df, ["key"], 250)
+    numbered = offsets.number().collect()
+    assert Counter(r.key for r in numbered) == {k: sizes[k] for k in heavy} and offsets.n_heavy == 4
+    assert sorted(r._pos for r in numbered) == list(range(len(numbered)))
+    assert Counter((r.key, r.v) for r in offsets.rows_of(False).collect()) == Counter(r for r in rows if r[0] not in heavy)
+    assert KeyOffsets(df, ["key"], 10**6).number().count() == 0
+
+
 def test_chunks_fill_equal_partitions(table):
     rows, df = table
-    sizes = KeyOffsets(df, ["key"]).chunks(700).withColumn("p", F.spark_partition_id()).groupBy("p").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("_chunk").alias("c"), F.max("_pos").alias("to")).orderBy("p").collect()
+    sizes = KeyOffsets(df, ["key"], 700, every_key=True).chunks().withColumn("p", F.spark_partition_id()).groupBy("p").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("_chunk").alias("c"), F.max("_pos").alias("to")).orderBy("p").collect()
     assert [r.n for r in sizes] == [700] * 4 + [200] and all(r.c == 1 for r in sizes) and [r.to for r in sizes] == [699, 1399, 2099, 2799, 2999]
 
 
+def test_chunks_grow_where_they_would_be_too_many(table, monkeypatch):
+    rows, df = table
+    monkeypatch.setattr(key_chunks, "MAX_CHUNKS", 6)
+    offsets = KeyOffsets(df, ["key"], 2)
+    assert offsets.n_chunks <= 6 and offsets.n_heavy <= 6 and offsets.chunk_rows > 300
+    got = chunked_aggregate(df, ["key"], {"n": F.count(F.lit(1))}, {"n": F.sum("n")}, 2).collect()
+    assert {r.key: r.n for r in got} == Counter(k for k, _ in rows)
+
+
 @pytest.mark.parametrize("chunk", [1, 37, 1000, 10**9])
 def test_aggregate_equals_group_by(table, chunk):
     rows, df = table
@@ -43,14 +66,14 @@ def test_aggregate_equals_group_by(table, chunk):
     want = {r.key: (r.n, r.s) for r in df.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.sum("v").alias("s")).collect()}
     assert {r.key: (r.n, r.s) for r in got} == want and len(got) == len(want)
     hot = next(r for r in got if r.key == "hot")
-    assert hot.chunks >= min(len(rows), hot.n) // chunk if chunk < 10**9 else hot.chunks == 1
+    assert hot.chunks >= hot.n // chunk if hot.n > chunk else hot.chunks == 1
 
 
 def test_several_keys_and_ordered_states(spark):
     df = spark.createDataFrame([("a", None, i) for i in range(50)] + [("a", 1, 3), (None, 1, 4), ("b", 1, 5)] * 2, "x string, y int, _chunk int").withColumnRenamed("_chunk", "v")
     got = {(r.x, r.y): (r.n, r.chunk) for r in chunked_aggregate(df, ["x", "y"], {"n": F.count(F.lit(1))}, {"n": F.sum("n"), "chunk": F.min_by("_chunk", "_chunk")}, 10).collect()}
     assert {k: n for k, (n, _) in got.items()} == {("a", None): 50, ("a", 1): 2, (None, 1): 2, ("b", 1): 2}
-    assert got[None, 1][1] == 0 and got["b", 1][1] == 5
+    assert got["a", None][1] == 0 and got[None, 1][1] == got["b", 1][1] == -1
 
 
 def test_empty_table_and_clashing_names(spark):
@@ -61,7 +84,7 @@ def test_empty_table_and_clashing_names(spark):
     with pytest.raises(ValueError):
         KeyOffsets(empty, [])
     with pytest.raises(ValueError):
-        KeyOffsets(empty, ["key"]).number(0)
+        KeyOffsets(empty, ["key"], 0)
 
 
 def test_scans_are_not_copied(table, spark):

@@ -4,7 +4,7 @@ import statistics
 import pytest
 from pyspark.sql import functions as F
 
-from quernel.operators.quality import Rule, control_limits, frequency_metrics, frequency_states, merge_frequency_states, merge_profile_states, profile_metrics, profile_states, with_previous_load
+from quernel.operators.quality import KeptStates, Rule, control_limits, frequency_metrics, frequency_states, merge_frequency_states, merge_profile_states, profile_metrics, profile_states, with_previous_load
 
 RULES = (Rule("u", low=0, high=100), Rule("f", allowed=(0, 1)))
 ROWS = [(1, 5, 0, "x"), (1, 7, 1, "x"), (1, None, None, "x"), (1, -3, 9, "x"), (2, 200, None, "x"), (None, 4, 1, "x"), (1, 7, 1, "x")]
@@ -100,3 +100,46 @@ def test_numbers_without_values(spark):
     for states in (profile_states(df), merge_profile_states(profile_states(df, ["g"]))):
         m = {r.column_name: r for r in profile_metrics(states).collect()}
         assert m["d"].median_estimate is None and m["i"].median_estimate is None and m["d"].n_nulls == 0 and m["i"].distinct_estimate is None
+
+
+def test_only_new_loads_are_read(spark, tmp_path):
+    source, kept = str(tmp_path / "t"), KeptStates(spark, str(tmp_path / "kept"), "load_id", RULES)
+    rows = spark.createDataFrame([(i % 6, i % 50 if i % 5 else None, i % 3, "") for i in range(600)], SCHEMA)
+    exact = lambda df: sorted(map(tuple, frequency_metrics(df, "load_id", RULES).collect()), key=str)
+    assert kept.states() is None
+    rows.where("load_id < 3").write.partitionBy("load_id").parquet(source)
+    arrived = spark.read.schema("u long, f long, n string, load_id long")
+    kept.update(arrived.parquet(source))
+    first = rows.where("load_id < 3")
+    assert exact(kept.states()) == exact(frequency_states(first, "load_id", RULES))
+    rows.where("load_id >= 3").write.mode("append").partitionBy("load_id").parquet(source)
+    arrived = arrived.parquet(source)
+    new = kept.new_rows(arrived)
+    kept.update(arrived)
+    assert exact(kept.states()) == exact(frequency_states(rows, "load_id", RULES))
+    kept.update(arrived)
+    assert exact(kept.states()) == exact(frequency_states(rows, "load_id", RULES))
+    for load in range(3):  # the rows of loads that are known are not read: their files are no tables any more
+        for f in (tmp_path / "t" / f"load_id={load}").glob("*.parquet"):
+            f.write_bytes(b"broken")
+            (f.parent / f".{f.name}.crc").unlink(missing_ok=True)
+    assert sorted(map(tuple, frequency_states(new, "load_id", RULES).collect()), key=str) == sorted(map(tuple, frequency_states(rows.where("load_id >= 3"), "load_id", RULES).collect()), key=str)
+
+
+def test_new_loads_with_null_and_too_many_to_name(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(KeptStates, "NAMED", 2)
+    rows = spark.createDataFrame([(i, 1, 0, "") for i in range(5)] + [(None, 2, 1, "")], SCHEMA)
+    for first in ("load_id < 4", "load_id IS NULL", "load_id = 0"):
+        kept = KeptStates(spark, str(tmp_path / first.replace(" ", "")), "load_id", RULES)
+        kept.update(rows.where(first))
+        kept.update(rows)
+        got = frequency_metrics(kept.states(), "load_id", RULES).collect()
+        assert sorted(((r.load_id, r.column_name, r.n_rows) for r in got), key=str) == sorted(((x, c, 1) for x in (*range(5), None) for c in "uf"), key=str)
+
+
+def test_control_limits_of_several_metrics(spark):
+    loads = spark.createDataFrame([(i, "a", i) for i in range(1, 9)], LOADS)
+    df = spark.createDataFrame([(i, 10 if i != 7 else None, 0, "") for i in range(1, 9)] * 3 + [(8, 500, 0, "")], SCHEMA)
+    m = with_previous_load(frequency_metrics(frequency_states(df, "load_id", RULES), "load_id", RULES), loads)
+    found = {(r.load_id, r.column_name, r.metric) for r in control_limits(m, ("null_share", "invalid_share", "valid_mean")).collect()}
+    assert found == {(7, "u", "null_share"), (8, "u", "invalid_share")}
