@@ -107,8 +107,8 @@ def _key_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunked_aggregate(
         keyed,
         ("column_name", "key_value"),
-        {"n": F.count(F.lit(1)), "u": F.sum(F.col("units_sold").cast("decimal(20,0)"))},
-        {"n_rows": F.sum("n"), "units": F.sum("u").cast("bigint")},
+        {"n": F.count(F.lit(1)), "u": F.sum("units_sold")},
+        {"n_rows": F.sum("n"), "units": F.sum("u")},
         CHUNK_ROWS,
     )
 
