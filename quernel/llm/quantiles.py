@@ -3,22 +3,27 @@
 A sketch keeps values in levels; a value of level h stands for 2**h values. A level that holds too much is compacted:
 its values are sorted and every other one, from a first or second place drawn at random, moves up a level. Levels have
 room for k, k*2/3, k*4/9, ... values from the top down, 8 at least. Merging two sketches joins their levels and compacts
-again, so sketches of partitions, loads or days can be put together in any order. With n values the rank of an answer
-is off by at most ``rank_error(k)`` * n with a probability of 99 %; up to k values are held exactly.
+again, so sketches of partitions, loads or days can be put together in any order. Up to k values are held exactly.
 
-A state is a row of the group columns, n, sizes (values per level) and items (the values, level by level, each level
-sorted), so it can be written, read and merged like any other row. Coins come from a seeded generator per task.
+The error is bounded by what has happened to a sketch. Compacting level h moves the rank of any value by -2**h, 0 or
+2**h, with mean 0; ``spent`` adds up the squares, 4**h, of all compactions, also through merges. By the inequality of
+Azuma and Hoeffding the rank of an answer is then off by at most sqrt(2 * spent * ln(2 * answers / delta)) for all of
+``answers`` answers together, with a probability of 1 - delta (``rank_error``).
+
+A state is a row of the group columns, n, spent, sizes (values per level) and items (the values, level by level, each
+level sorted), so it can be written, read and merged like any other row. Coins come from a seeded generator per task.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Iterator, Sequence
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
@@ -28,47 +33,57 @@ K = 1024
 #: Values of a partition that are held back before they are turned into states.
 FLUSH_ROWS = 1 << 20
 
-Levels = list[np.ndarray]
+#: Partitions of rows from which their states are merged in two steps.
+ONE_STEP = 256
+
+
+@dataclass
+class Sketch:
+    """Levels of sorted values and what their compactions have spent."""
 
+    levels: list[np.ndarray]
+    spent: float = 0.0
 
-def rank_error(k: int = K) -> float:
-    """The share of n by which a rank is off at most, at 99 % (the constants published for this kind of sketch)."""
-    return 2.296 / k**0.9021
+
+def rank_error(spent: float, n: int, answers: int, delta: float = 0.01) -> float:
+    """The share of n by which the rank of an answer is off at most, for ``answers`` answers together, at 1 - ``delta``."""
+    return math.sqrt(2 * spent * math.log(2 * max(1, answers) / delta)) / max(1, n)
 
 
 def capacity(k: int, level: int, levels: int) -> int:
     return max(8, math.ceil(k * (2 / 3) ** (levels - 1 - level)))
 
 
-def compress(levels: Levels, k: int, rng: np.random.Generator) -> Levels:
+def compress(sketch: Sketch, k: int, rng: np.random.Generator) -> Sketch:
     """Compact the lowest level that holds too much until all levels together have room; levels stay sorted."""
-    levels = list(levels)
+    levels, spent = list(sketch.levels), sketch.spent
     while sum(map(len, levels)) > sum(capacity(k, h, len(levels)) for h in range(len(levels))):
         h = next(i for i, x in enumerate(levels) if len(x) > capacity(k, i, len(levels)))
         full = levels[h]
         kept, moved = full[: len(full) % 2], full[len(full) % 2 :]  # an odd value stays
         moved = moved[int(rng.integers(2)) :: 2]
+        spent += 4.0**h
         if h + 1 == len(levels):
             levels.append(np.empty(0))
         levels[h] = kept
         levels[h + 1] = np.sort(np.concatenate([levels[h + 1], moved]), kind="stable")
-    return levels
+    return Sketch(levels, spent)
 
 
-def build(values: np.ndarray, k: int, rng: np.random.Generator) -> Levels:
-    return compress([np.sort(values)], k, rng)
+def build(values: np.ndarray, k: int, rng: np.random.Generator) -> Sketch:
+    return compress(Sketch([np.sort(values)]), k, rng)
 
 
-def merge(parts: Sequence[Levels], k: int, rng: np.random.Generator) -> Levels:
-    height = max(map(len, parts))
-    joined = [np.sort(np.concatenate([p[h] for p in parts if h < len(p)])) for h in range(height)]
-    return compress(joined, k, rng)
+def merge(parts: Sequence[Sketch], k: int, rng: np.random.Generator) -> Sketch:
+    height = max(len(p.levels) for p in parts)
+    joined = [np.sort(np.concatenate([p.levels[h] for p in parts if h < len(p.levels)])) for h in range(height)]
+    return compress(Sketch(joined, sum(p.spent for p in parts)), k, rng)
 
 
-def quantile(levels: Levels, n: int, p: float) -> float:
+def quantile(sketch: Sketch, n: int, p: float) -> float:
     """The value of rank ceil(p * n), the first for p = 0."""
-    values = np.concatenate(levels)
-    weights = np.repeat(2 ** np.arange(len(levels)), [len(x) for x in levels])
+    values = np.concatenate(sketch.levels)
+    weights = np.repeat(2 ** np.arange(len(sketch.levels)), [len(x) for x in sketch.levels])
     order = np.argsort(values, kind="stable")
     at = np.searchsorted(np.cumsum(weights[order]), max(1, math.ceil(p * n)))
     return float(values[order][min(at, len(values) - 1)])
@@ -78,7 +93,7 @@ def _schema(df: DataFrame, by: Sequence[str], *fields: T.StructField) -> T.Struc
     return T.StructType([*(T.StructField(df.schema[c].name, df.schema[c].dataType, True) for c in by), *fields])
 
 
-_STATE = (T.StructField("n", T.LongType()), T.StructField("sizes", T.ArrayType(T.IntegerType())), T.StructField("items", T.ArrayType(T.DoubleType())))
+_STATE = (T.StructField("n", T.LongType()), T.StructField("spent", T.DoubleType()), T.StructField("sizes", T.ArrayType(T.IntegerType())), T.StructField("items", T.ArrayType(T.DoubleType())))
 
 
 def _list_array(lengths: np.ndarray, values: np.ndarray, kind: pa.DataType) -> pa.ListArray:
@@ -87,14 +102,15 @@ def _list_array(lengths: np.ndarray, values: np.ndarray, kind: pa.DataType) -> p
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(values, kind))
 
 
-def _state_batch(groups: list[pa.Array], sketches: list[Levels], counts: Sequence[int], schema: pa.Schema) -> pa.RecordBatch:
-    sizes = [len(x) for s in sketches for x in s]
-    items = np.concatenate([x for s in sketches for x in s]) if sketches else np.empty(0)
+def _state_batch(groups: list[pa.Array], sketches: list[Sketch], counts: Sequence[int], schema: pa.Schema) -> pa.RecordBatch:
+    sizes = [len(x) for s in sketches for x in s.levels]
+    items = np.concatenate([x for s in sketches for x in s.levels]) if sketches else np.empty(0)
     arrays = [
         *groups,
         pa.array(counts, pa.int64()),
-        _list_array(np.array([len(s) for s in sketches], np.int64), np.array(sizes, np.int32), pa.int32()),
-        _list_array(np.array([sum(map(len, s)) for s in sketches], np.int64), items, pa.float64()),
+        pa.array([s.spent for s in sketches], pa.float64()),
+        _list_array(np.array([len(s.levels) for s in sketches], np.int64), np.array(sizes, np.int32), pa.int32()),
+        _list_array(np.array([sum(map(len, s.levels)) for s in sketches], np.int64), items, pa.float64()),
     ]
     return pa.RecordBatch.from_arrays([a.cast(f.type) for a, f in zip(arrays, schema, strict=True)], schema=schema)
 
@@ -109,18 +125,19 @@ def _group_codes(table: pa.Table, by: Sequence[str]) -> np.ndarray:
     return code
 
 
-def partial_states(df: DataFrame, by: Sequence[str], value: str, k: int = K, seed: int = 0) -> DataFrame:
+def partial_states(df: DataFrame, by: Sequence[str], value: str, k: int = K, seed: int = 0, part: str | None = None, together: int = 1) -> DataFrame:
     """States of each input partition, without a shuffle; a partition may give several of a group.
 
     NULL and NaN values are left out, a group with no other values has no state. NULL is a group. Values are taken as
-    doubles (integers are exact up to 2**53).
+    doubles (integers are exact up to 2**53). ``part`` names a column for the number of the partition div ``together``.
     """
-    schema = _schema(df, by, *_STATE)
+    schema = _schema(df, by, *([T.StructField(part, T.IntegerType())] if part else []), *_STATE)
     arrow_schema = to_arrow_schema(schema)
     keys = [f"_k{i}" for i in range(len(by))]
 
     def states(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rng = np.random.default_rng((seed, 0, TaskContext.get().partitionId()))
+        pid = TaskContext.get().partitionId()
+        rng = np.random.default_rng((seed, 0, pid))
         held, rows = [], 0
 
         def flush() -> pa.RecordBatch:
@@ -130,8 +147,10 @@ def partial_states(df: DataFrame, by: Sequence[str], value: str, k: int = K, see
             code, x = code[order], x[order]
             starts = np.flatnonzero(np.r_[True, code[1:] != code[:-1]])
             ends = np.append(starts[1:], len(x))
-            sketches = [compress([x[a:b]], k, rng) for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
+            sketches = [compress(Sketch([x[a:b]]), k, rng) for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
             groups = [table.column(c).combine_chunks().take(pa.array(order[starts])) for c in keys]
+            if part:
+                groups.append(pa.array(np.full(len(starts), pid // together)))
             return _state_batch(groups, sketches, ends - starts, arrow_schema)
 
         for batch in batches:
@@ -149,31 +168,30 @@ def partial_states(df: DataFrame, by: Sequence[str], value: str, k: int = K, see
     return chosen.mapInArrow(states, schema)
 
 
-def _split(batch: pa.RecordBatch) -> tuple[np.ndarray, list[Levels]]:
+def _split(batch: pa.RecordBatch) -> tuple[np.ndarray, list[Sketch]]:
     sizes, items = batch.column("sizes"), batch.column("items")
     per_state = np.diff(sizes.offsets.to_numpy())
     flat_sizes, flat = sizes.flatten().to_numpy(), items.flatten().to_numpy()
     cuts = np.concatenate([[0], np.cumsum(flat_sizes, dtype=np.int64)]).tolist()
     out, at = [], 0
-    for m in per_state.tolist():
-        out.append([flat[cuts[at + j] : cuts[at + j + 1]] for j in range(m)])
+    for m, spent in zip(per_state.tolist(), batch.column("spent").to_pylist(), strict=True):
+        out.append(Sketch([flat[cuts[at + j] : cuts[at + j + 1]] for j in range(m)], spent))
         at += m
     return batch.column("n").to_numpy(), out
 
 
-def _merge_round(states: DataFrame, by: Sequence[str], spread: Sequence[str], k: int, seed: int, salts: int, round_no: int) -> DataFrame:
-    """One merge by (``by``, a salt of the ``spread`` columns); each task streams over its states in a fixed order."""
+def _merge_round(states: DataFrame, by: Sequence[str], salt: Column, k: int, seed: int, round_no: int) -> DataFrame:
+    """One merge by (``by``, ``salt``); each task streams over its states in a fixed order."""
     schema = _schema(states, by, *_STATE)
     arrow_schema = to_arrow_schema(schema)
     keys = [f"_k{i}" for i in range(len(by))]
-    salt = F.pmod(F.xxhash64(*spread, "n", "items"), F.lit(salts)) if salts > 1 else F.lit(0)
-    keyed = states.select(*[F.col(c).alias(a) for c, a in zip(by, keys, strict=True)], salt.cast("int").alias("_salt"), F.xxhash64("n", "items").alias("_order"), "n", "sizes", "items")
+    keyed = states.select(*[F.col(c).alias(a) for c, a in zip(by, keys, strict=True)], salt.cast("int").alias("_salt"), F.xxhash64("n", "items").alias("_order"), "n", "spent", "sizes", "items")
 
     def merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rng = np.random.default_rng((seed, round_no, TaskContext.get().partitionId()))
         open_key, parts, n = None, [], 0
         done_keys: list[tuple] = []
-        done: list[Levels] = []
+        done: list[Sketch] = []
         counts: list[int] = []
 
         def close() -> None:
@@ -188,7 +206,7 @@ def _merge_round(states: DataFrame, by: Sequence[str], spread: Sequence[str], k:
 
         for batch in batches:
             sizes, levels = _split(batch)
-            names = list(zip(*(batch.column(c).to_pylist() for c in keys), strict=True)) if keys else [()] * batch.num_rows
+            names = list(zip(*(batch.column(c).to_pylist() for c in (*keys, "_salt")), strict=True))
             for key, size, sketch in zip(names, sizes.tolist(), levels, strict=True):
                 if key != open_key or not parts:
                     close()
@@ -204,8 +222,7 @@ def _merge_round(states: DataFrame, by: Sequence[str], spread: Sequence[str], k:
         if done:
             yield take()
 
-    spread_over = keyed.repartition(*keys, "_salt") if keys or salts > 1 else keyed.repartition(1)
-    return spread_over.sortWithinPartitions(*keys, "_salt", "_order").mapInArrow(merged, schema)
+    return keyed.repartition(*keys, "_salt").sortWithinPartitions(*keys, "_salt", "_order").mapInArrow(merged, schema)
 
 
 def merge_states(states: DataFrame, by: Sequence[str], k: int = K, seed: int = 0, salts: int = 64) -> DataFrame:
@@ -214,29 +231,49 @@ def merge_states(states: DataFrame, by: Sequence[str], k: int = K, seed: int = 0
     States of a group are first merged in ``salts`` parts, then these parts, so a group that has states in every
     partition is not the work of one task. ``salts`` = 1 merges in one step, for many small groups.
     """
-    spread = [f.name for f in states.schema.fields if f.name not in {*by, "n", "sizes", "items"}]
     if salts > 1:
-        states = _merge_round(states, by, spread, k, seed, salts, 1)
-        spread = []
-    return _merge_round(states, by, spread, k, seed, 1, 2)
+        spread = [f.name for f in states.schema.fields if f.name not in {*by, "n", "spent", "sizes", "items"}]
+        states = _merge_round(states, by, F.pmod(F.xxhash64(*spread, "n", "items"), F.lit(salts)), k, seed, 1)
+    return _merge_round(states, by, F.lit(0), k, seed, 2)
+
 
+def states_of(df: DataFrame, by: Sequence[str], value: str, k: int = K, seed: int = 0) -> DataFrame:
+    """One state per group of the rows of ``df``, merged as a tree over the input partitions.
 
-def percentiles(states: DataFrame, by: Sequence[str], ps: Sequence[float]) -> DataFrame:
-    """(``by``, percentile, estimate, n_values) for each state and each of ``ps``."""
+    States of neighbouring partitions are merged first, so a group with rows in every partition is never the work of
+    one task; up to ``ONE_STEP`` partitions are one such neighbourhood.
+    """
+    partitions = df._jdf.queryExecution().toRdd().getNumPartitions()
+    together = partitions if partitions <= ONE_STEP else math.isqrt(partitions)
+    part = "_part"
+    while part in by:
+        part += "_"
+    states = _merge_round(partial_states(df, by, value, k, seed, part, max(1, together)), [*by, part], F.lit(0), k, seed, 1)
+    return states.drop(part) if partitions <= ONE_STEP else _merge_round(states, by, F.lit(0), k, seed, 2)
+
+
+def percentiles(states: DataFrame, by: Sequence[str], ps: Sequence[float], answers: int | None = None, delta: float = 0.01) -> DataFrame:
+    """(``by``, percentile, estimate, n_values, rank_error) for each state and each of ``ps``.
+
+    All of ``answers`` answers together (None: those of one state) are within their rank_error, a share of n_values, at
+    1 - ``delta``.
+    """
     if any(not 0 <= p <= 1 for p in ps):
         raise ValueError("percentiles lie between 0 and 1")
-    schema = _schema(states, by, T.StructField("percentile", T.DoubleType()), T.StructField("estimate", T.DoubleType()), T.StructField("n_values", T.LongType()))
+    fields = ("percentile", T.DoubleType()), ("estimate", T.DoubleType()), ("n_values", T.LongType()), ("rank_error", T.DoubleType())
+    schema = _schema(states, by, *(T.StructField(n, t) for n, t in fields))
     arrow_schema = to_arrow_schema(schema)
-    width = len(by)
+    width, together = len(by), answers or len(ps)
 
-    def answers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
                 continue
             counts, sketches = _split(batch)
             values = [quantile(s, n, p) for s, n in zip(sketches, counts.tolist(), strict=True) for p in ps]
+            errors = np.array([rank_error(s.spent, n, together, delta) for s, n in zip(sketches, counts.tolist(), strict=True)])
             rows = pa.array(np.repeat(np.arange(batch.num_rows), len(ps)))
-            arrays = [*(batch.column(i).take(rows) for i in range(width)), pa.array(np.tile(np.array(ps, float), batch.num_rows)), pa.array(values, pa.float64()), pa.array(np.repeat(counts, len(ps)))]
+            arrays = [*(batch.column(i).take(rows) for i in range(width)), pa.array(np.tile(np.array(ps, float), batch.num_rows)), pa.array(values, pa.float64()), pa.array(np.repeat(counts, len(ps))), pa.array(np.repeat(errors, len(ps)))]
             yield pa.RecordBatch.from_arrays([a.cast(f.type) for a, f in zip(arrays, arrow_schema, strict=True)], schema=arrow_schema)
 
-    return states.select(*by, "n", "sizes", "items").mapInArrow(answers, schema)
+    return states.select(*by, "n", "spent", "sizes", "items").mapInArrow(found, schema)

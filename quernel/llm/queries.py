@@ -39,42 +39,62 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_n(spark, table, TOP).select("category", "sku", "sale_id")
 
 
+_LOAD = ("load_id", "category")
+
+
 def _load_states(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A state per load and category, as it would be kept from day to day."""
+    """A state per load and category, written as it would be kept from day to day."""
     sales = _valid_sales(spark, sf_dir).where(F.col("category").isNotNull())
-    partial = quantiles.partial_states(sales, ("load_id", "category"), "units_sold")
-    return quantiles.merge_states(partial, ("load_id", "category"), salts=1)
+    return materialize(quantiles.states_of(sales, _LOAD, "units_sold"), "load-states")
 
 
 def p3_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Percentiles of categories from the states of single loads."""
-    merged = quantiles.merge_states(_load_states(spark, sf_dir), ("category",))
-    return quantiles.percentiles(merged, ("category",), PERCENTILES)
+    """Percentiles of each load and category and, with load_id NULL, of each category put together from its loads.
+
+    The stated rank_error holds for all rows of the result together.
+    """
+    loads = _load_states(spark, sf_dir)
+    n_loads, n_categories = loads.agg(F.count(F.lit(1)), F.count_distinct("category")).first()
+    answers = (n_loads + n_categories) * len(PERCENTILES)
+    whole = quantiles.percentiles(quantiles.merge_states(loads, ("category",)), ("category",), PERCENTILES, answers)
+    single = quantiles.percentiles(loads, _LOAD, PERCENTILES, answers)
+    return single.unionByName(whole.select(F.lit(None).cast("long").alias("load_id"), *whole.columns))
 
 
 def p3_loads(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Percentiles of each load and category; groups of at most quantiles.K values are exact."""
-    return quantiles.percentiles(_load_states(spark, sf_dir), ("load_id", "category"), PERCENTILES)
+    return quantiles.percentiles(_load_states(spark, sf_dir), _LOAD, PERCENTILES)
 
 
 def p3_direct(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Percentiles of categories straight from the rows."""
     sales = _valid_sales(spark, sf_dir).where(F.col("category").isNotNull())
-    return quantiles.percentiles(quantiles.merge_states(quantiles.partial_states(sales, ("category",), "units_sold"), ("category",)), ("category",), PERCENTILES)
+    return quantiles.percentiles(quantiles.states_of(sales, ("category",), "units_sold"), ("category",), PERCENTILES)
+
+
+def _true_ranks(sales: DataFrame, answers: DataFrame, by: tuple[str, ...]) -> DataFrame:
+    """For each answer of a group the values below it and the values up to it, by one exact scan."""
+    wide = answers.groupBy(*by).agg(
+        F.first("n_values").alias("n_values"), F.first("rank_error").alias("rank_error"), *[F.first(F.when(F.col("percentile") == p, F.col("estimate")), True).alias(f"e{i}") for i, p in enumerate(PERCENTILES)]
+    )
+    v = F.col("units_sold")
+    counts = [F.sum(F.when(c, 1).otherwise(0)).alias(f"{n}{i}") for i in range(len(PERCENTILES)) for n, c in (("lt", v < F.col(f"e{i}")), ("le", v <= F.col(f"e{i}")))]
+    found = sales.join(wide, list(by)).groupBy(*by, "n_values", "rank_error").agg(F.count(F.lit(1)).alias("_n"), *counts)
+    rows = F.inline(F.array(*[F.struct(F.lit(p).alias("percentile"), F.col(f"lt{i}").alias("_lt"), F.col(f"le{i}").alias("_le")) for i, p in enumerate(PERCENTILES)]))
+    return found.select(*by, "n_values", "rank_error", "_n", rows)
 
 
 def p3_within_bound(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Whether each estimate's true ranks come within the stated error of the percentile, by one exact scan."""
+    """Whether the exact ranks of each answer of ``p3_percentiles`` come within its stated error of the percentile."""
     found = materialize(p3_percentiles(spark, sf_dir), "percentiles")
-    wide = found.groupBy("category").pivot("percentile", list(PERCENTILES)).agg(F.first("estimate"))
-    sales = _valid_sales(spark, sf_dir).join(wide, "category")
-    v = F.col("units_sold")
-    counts = [f(F.when(c, 1).otherwise(0)).alias(f"{n}{i}") for f in (F.sum,) for i, p in enumerate(PERCENTILES) for n, c in (("lt", v < F.col(f"`{p}`")), ("le", v <= F.col(f"`{p}`")))]
-    exact = sales.groupBy("category").agg(F.count(F.lit(1)).alias("n_values"), *counts)
-    rows = F.explode(F.array(*[F.struct(F.lit(p).alias("percentile"), F.col(f"lt{i}").alias("lt"), F.col(f"le{i}").alias("le")) for i, p in enumerate(PERCENTILES)]))
-    slack = F.lit(quantiles.rank_error()) * F.col("n_values") + 1
-    target = F.col("r.percentile") * F.col("n_values")
-    return exact.select("category", "n_values", rows.alias("r")).select("category", "r.percentile", "n_values", ((target >= F.col("r.lt") - slack) & (target <= F.col("r.le") + slack)).alias("within"))
+    sales = _valid_sales(spark, sf_dir).where(F.col("category").isNotNull()).select(*_LOAD, "units_sold")
+    single = _true_ranks(sales, found.where(F.col("load_id").isNotNull()), _LOAD)
+    whole = _true_ranks(sales.drop("load_id"), found.where(F.col("load_id").isNull()).drop("load_id"), ("category",))
+    ranks = single.unionByName(whole.withColumn("load_id", F.lit(None).cast("long")))
+    # The rank that is asked for is a whole one, and the first at least.
+    target, slack = F.greatest(F.lit(1), F.ceil(F.col("percentile") * F.col("_n"))), F.col("rank_error") * F.col("_n")
+    within = (F.col("_n") == F.col("n_values")) & (target > F.col("_lt") - slack) & (target <= F.col("_le") + slack)
+    return ranks.select("load_id", "category", "percentile", "n_values", within.alias("within"))
 
 
 def p7_ids(spark: SparkSession, sf_dir: str, tokenizers: str = TOKENIZERS) -> DataFrame:
@@ -166,12 +186,12 @@ SELECT category, sku, sale_id FROM r WHERE place <= 5""",
     "p3_loads": f"""
 WITH g AS (SELECT s.load_id, b.category, list_sort(list(s.units_sold)) AS v, COUNT(*) AS n_values FROM fmcg_sales s JOIN brands b ON s.brand = b.brand
   WHERE s.units_sold BETWEEN 0 AND 20000 AND b.category IS NOT NULL GROUP BY s.load_id, b.category)
-SELECT load_id, category, percentile, CAST(v[CAST(GREATEST(1, CEIL(percentile * n_values)) AS BIGINT)] AS DOUBLE) AS estimate, n_values
+SELECT load_id, category, percentile, CAST(v[CAST(GREATEST(1, CEIL(percentile * n_values)) AS BIGINT)] AS DOUBLE) AS estimate, n_values, CAST(0 AS DOUBLE) AS rank_error
 FROM g, (SELECT unnest([{', '.join(f'CAST({p} AS DOUBLE)' for p in PERCENTILES)}]) AS percentile) p""",
     "p3_within_bound": f"""
-SELECT b.category, p.percentile, COUNT(*) AS n_values, TRUE AS within
+SELECT s.load_id, b.category, p.percentile, COUNT(*) AS n_values, TRUE AS within
 FROM fmcg_sales s JOIN brands b ON s.brand = b.brand, (SELECT unnest([{', '.join(f'CAST({p} AS DOUBLE)' for p in PERCENTILES)}]) AS percentile) p
-WHERE s.units_sold BETWEEN 0 AND 20000 AND b.category IS NOT NULL GROUP BY b.category, p.percentile""",
+WHERE s.units_sold BETWEEN 0 AND 20000 AND b.category IS NOT NULL GROUP BY GROUPING SETS ((s.load_id, b.category, p.percentile), (b.category, p.percentile))""",
     "p9_found": _REPETITION + "SELECT doc_id FROM d WHERE n_chars >= 80 AND share >= 0.35",
     "p9_shares": _REPETITION + "SELECT doc_id, n_units, n_repeated, share FROM d",
 }
