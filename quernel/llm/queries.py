@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from quernel.llm import quantiles
 from quernel.llm.bpe import count_tokens, encode_column
 from quernel.llm.mixing import Plan, Target, measure, mix, plan_mix, report
-from quernel.llm.repetition import labelled_holdout, repeats_by_definition, repetition, risk_controlled_cutoffs, stratum
+from quernel.llm.repetition import STRATA, Cutoff, cutoff_report, labelled_holdout, repetition, risk_controlled_cutoffs, screened
 from quernel.llm.top_n import cluster, top_n
 from quernel.plans.scratch import materialize
 from quernel.sources.parquet import read_parquet
@@ -18,7 +18,8 @@ TOKENIZERS = "/opt/tokenizers"
 TOP = 5
 PERCENTILES = (0.01, 0.05, 0.25, 0.5, 0.75, 0.95, 0.99)
 LEAST_CHARS, LEAST_SHARE = 80, 0.35
-HOLDOUT_PER_STRATUM = 1500
+#: Documents of the labelled holdout.
+HOLDOUT = 12_000
 CUTOFFS = tuple(round(0.05 * i, 2) for i in range(1, 8))
 
 
@@ -129,38 +130,31 @@ def p8_shares(spark: SparkSession, sf_dir: str, tokenizers: str = TOKENIZERS) ->
     return report(*_mix(spark, sf_dir, tokenizers))
 
 
-def _measured(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return repetition(_table(spark, sf_dir, "documents"), ["doc_id"], "text")
-
-
 def p9_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _measured(spark, sf_dir).select("doc_id", "n_units", "n_repeated", "share")
+    return repetition(_table(spark, sf_dir, "documents"), ["doc_id"], "text").select("doc_id", "n_units", "n_repeated", "share")
 
 
-def _cutoffs(spark: SparkSession, sf_dir: str, measured: DataFrame) -> dict[str, float]:
-    documents = _table(spark, sf_dir, "documents").select("doc_id", "text")
-    holdout = labelled_holdout(measured, documents, "doc_id", "text", lambda t: not repeats_by_definition(t), HOLDOUT_PER_STRATUM)
-    return risk_controlled_cutoffs(holdout, CUTOFFS, LEAST_SHARE)
+def _long_enough(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _table(spark, sf_dir, "documents").select("doc_id", "text").where(F.length("text") >= LEAST_CHARS)
 
 
-def _judged(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, dict[str, float]]:
-    long_enough = _measured(spark, sf_dir).where(F.col("n_chars") >= LEAST_CHARS)
-    measured = materialize(long_enough.select("doc_id", stratum(F.col("n_chars"), F.col("by_letter")).alias("stratum"), "share"), "repetition")
-    return measured, _cutoffs(spark, sf_dir, measured)
+def _cutoffs(documents: DataFrame) -> dict[str, Cutoff]:
+    """A cutoff for every stratum; the stated share where the holdout has no document of it."""
+    holdout = labelled_holdout(documents, "doc_id", "text", LEAST_SHARE, HOLDOUT)
+    return {s: Cutoff(LEAST_SHARE, 0, 1.0) for s in STRATA} | risk_controlled_cutoffs(holdout, CUTOFFS, LEAST_SHARE)
 
 
 def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents above their stratum's cutoff, none of which is above the stated share; that share then decides."""
-    measured, cutoffs = _judged(spark, sf_dir)
-    cutoff = F.lit(LEAST_SHARE)
-    for name, c in cutoffs.items():
-        cutoff = F.when(F.col("stratum") == name, F.lit(c)).otherwise(cutoff)
-    rejected = measured.where(F.col("share") >= cutoff)
-    return rejected.where(F.col("share") >= LEAST_SHARE).select("doc_id")
+    """Texts whose score reaches their stratum's cutoff are measured exactly; the stated share decides on these."""
+    documents = _long_enough(spark, sf_dir)
+    cutoffs = {s: c.cutoff for s, c in _cutoffs(documents).items()}
+    return screened(documents, ["doc_id"], "text", cutoffs).where(F.col("share") >= LEAST_SHARE).select("doc_id")
 
 
 def p9_cutoffs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.createDataFrame(sorted(_judged(spark, sf_dir)[1].items()), "stratum string, cutoff double")
+    """Guaranteed and measured false rejection of the cutoffs, and what they find, outside the holdout."""
+    documents = _long_enough(spark, sf_dir)
+    return cutoff_report(documents, "doc_id", "text", _cutoffs(documents), LEAST_SHARE, HOLDOUT)
 
 
 QUERIES = {f.__name__: f for f in (p1_found, p3_percentiles, p3_loads, p3_direct, p3_within_bound, p7_ids, p8_found, p8_mix, p8_shares, p9_found, p9_shares, p9_cutoffs)}

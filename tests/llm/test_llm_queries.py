@@ -45,5 +45,13 @@ def test_repetition_by_definition(spark):
     assert {r.doc_id for r in q.p9_found(spark, str(SF)).collect()} == {d for d, x in rows if repeats_by_definition(x)}
 
 
-def test_cutoffs_never_pass_the_stated_share(spark):
-    assert all(0 < r.cutoff <= q.LEAST_SHARE for r in q.p9_cutoffs(spark, str(SF)).collect())
+def test_cutoffs_lose_nothing(spark):
+    rows = q.p9_cutoffs(spark, str(SF)).collect()
+    assert rows and all(0 < r.cutoff <= q.LEAST_SHARE and r.n_bad_taken == r.n_bad for r in rows)
+
+
+def test_cutoffs_decide_what_is_measured(spark):
+    documents = q._long_enough(spark, str(SF))
+    cutoffs = {s: c.cutoff for s, c in q._cutoffs(documents).items()}
+    measured = q.screened(documents, ["doc_id"], "text", cutoffs).where("share IS NOT NULL").count()
+    assert 0 < measured < documents.count() / 2

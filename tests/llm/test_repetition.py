@@ -1,3 +1,4 @@
+import math
 import random
 
 import pytest
@@ -84,20 +85,51 @@ def test_risk_is_controlled():
     for _ in range(200):
         holdout = {s: [(min(1.0, r.expovariate(rate)), True) for _ in range(400)] + [(1.0, False)] * 20 for s, rate in (("x", 12), ("y", 25))}
         cuts = rep.risk_controlled_cutoffs(holdout, grid, 0.95, alpha=0.05, delta=0.1)
-        import math
-
-        broken += any(math.exp(-rate * cuts[s]) > 0.05 for s, rate in (("x", 12), ("y", 25)))
-        assert cuts["y"] < cuts["x"] < 0.95
+        broken += any(math.exp(-rate * cuts[s].cutoff) > 0.05 for s, rate in (("x", 12), ("y", 25)))
+        assert cuts["y"].cutoff < cuts["x"].cutoff < 0.95 and cuts["x"].bound <= 0.05 and cuts["x"].n_good == 400
     assert broken <= 20
-    assert rep.risk_controlled_cutoffs({"x": [(0.0, True)] * 3}, grid, 0.35) == {"x": 0.35}
-    assert rep.risk_controlled_cutoffs({"x": [(0.0, True)] * 5000}, grid, 0.35) == {"x": 0.05}
+    few = rep.risk_controlled_cutoffs({"x": [(0.0, True)] * 3}, grid, 0.35)["x"]
+    assert few.cutoff == 0.35 and few.n_good == 3 and few.bound > 0.5
+    assert rep.risk_controlled_cutoffs({"x": [(0.0, True)] * 5000}, grid, 0.35)["x"].cutoff == 0.05
     assert rep.risk_controlled_cutoffs({}, grid, 0.35) == {}
 
 
-def test_holdout(spark):
-    texts = [("good words all differ number " + " ".join(chr(97 + i % 26) * (1 + i % 5) for i in range(20 + j))) for j in range(30)] + ["again and again we say " * 12] * 10
-    docs = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
-    measured = rep.repetition(docs, ["id"], "text").withColumn("stratum", rep.stratum(F.col("n_chars"), F.col("by_letter")))
-    found = rep.labelled_holdout(measured, docs, "id", "text", lambda t: not rep.repeats_by_definition(t), 25)
-    assert set(found) == {"words-short"} and len(found["words-short"]) == 25
-    assert all(good == (share < 0.35) for share, good in found["words-short"])
+def test_score_is_never_below_the_share(monkeypatch):
+    r = random.Random(8)
+    texts = CASES + [" ".join(r.choice("abcdefgh") * r.randint(1, n) for _ in range(r.randint(0, 400))) for n in (1, 2, 4, 9) for _ in range(20)]
+    for slots in (1, 32):
+        monkeypatch.setattr(rep, "SLOTS", slots)
+        found = rep.measure_texts(texts, dict.fromkeys(rep.STRATA, 0.0))
+        assert (found["n_scored"] >= found["n_repeated"]).all() and (found["n_scored"] <= found["n_units"]).all()
+        assert found["n_repeated"].tolist() == rep.measure_texts(texts)["n_repeated"].tolist()
+        if slots == 32:
+            assert found["n_scored"].sum() < found["n_repeated"].sum() + 0.1 * found["n_units"].sum()
+        cut = rep.measure_texts(texts, dict.fromkeys(rep.STRATA, 0.35))
+        exact, n = found["n_repeated"], found["n_units"]
+        assert all(c == e for c, e, m in zip(cut["n_repeated"], exact, n, strict=True) if m and e >= 0.35 * m)
+        assert (cut["n_repeated"][n > 0] == -1).any()
+
+
+def long_texts(n):
+    r = random.Random(3)
+    word = lambda: "".join(r.choice("abcdefghijklmnop") for _ in range(5))
+    return [" ".join(["again and again we say"] * 15) if i % 9 == 0 else " ".join(word() for _ in range(r.randint(20, 60))) for i in range(n)]
+
+
+def test_screening_holdout_and_report(spark):
+    texts = long_texts(900) + [None, "", "short"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "id long, text string").withColumns({"score": F.lit("x"), "stratum": F.lit(1)})
+    holdout = rep.labelled_holdout(docs, "id", "text", 0.35, 700)
+    assert holdout == rep.labelled_holdout(docs, "id", "text", 0.35, 700) and sum(map(len, holdout.values())) == 450
+    assert sum(map(len, rep.labelled_holdout(docs, "id", "text", 0.35, 20).values())) == 20
+    assert any(good and score > 0 for score, good in holdout["words-short"]) or any(score == 0 for score, _ in holdout["words-short"])
+    cutoffs = dict.fromkeys(rep.STRATA, rep.Cutoff(0.35, 0, 1.0)) | rep.risk_controlled_cutoffs(holdout, [0.1, 0.2, 0.3], 0.35)
+    assert cutoffs["words-short"].cutoff < 0.35 and cutoffs["words-short"].bound <= 0.02
+    exact = {r.id: r.share for r in rep.repetition(docs, ["id"], "text").collect()}
+    rows = rep.screened(docs, ["id"], "text", {s: c.cutoff for s, c in cutoffs.items()}).collect()
+    assert len(rows) == len(texts) and sum(r.share is None for r in rows) > 700
+    assert all(r.share is None and exact[r.id] < 0.35 or r.share == exact[r.id] for r in rows)
+    report = {r.stratum: r for r in rep.cutoff_report(docs, "id", "text", cutoffs, 0.35, 700).collect()}["words-short"]
+    assert report.n_good + report.n_bad == 451 and report.n_bad == report.n_bad_taken > 0 and report.n_good_taken <= 0.1 * report.n_good
+    assert rep.labelled_holdout(docs.where("1 = 0"), "id", "text", 0.35, 10) == {}
+    assert rep.screened(docs.where("1 = 0"), ["id"], "text", dict.fromkeys(rep.STRATA, 0.3)).count() == 0
