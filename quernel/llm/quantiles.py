@@ -89,6 +89,23 @@ def quantile(sketch: Sketch, n: int, p: float) -> float:
     return float(values[order][min(at, len(values) - 1)])
 
 
+def _quantiles(batch: pa.RecordBatch, ps: Sequence[float]) -> np.ndarray:
+    """``quantile`` of each state of a batch and each of ``ps``, all states at once."""
+    sizes, n = batch.column("sizes"), batch.column("n").to_numpy()
+    levels = np.diff(sizes.offsets.to_numpy())
+    per_level = sizes.flatten().to_numpy()
+    level = np.arange(len(per_level)) - np.repeat(np.cumsum(levels) - levels, levels)
+    state_of_level = np.repeat(np.arange(len(n)), levels)
+    state = np.repeat(state_of_level, per_level)
+    weight, value = np.repeat(np.int64(1) << level, per_level), batch.column("items").flatten().to_numpy()
+    order = np.lexsort((value, state))
+    # Weights add up to n in each state, so ranks of one state follow those of the one before.
+    upto = np.cumsum(weight[order])
+    base = np.cumsum(n) - n
+    targets = np.maximum(1, np.ceil(np.array(ps, float)[None, :] * n[:, None]).astype(np.int64)) + base[:, None]
+    return value[order][np.searchsorted(upto, targets.ravel())].reshape(len(n), len(ps))
+
+
 def _schema(df: DataFrame, by: Sequence[str], *fields: T.StructField) -> T.StructType:
     return T.StructType([*(T.StructField(df.schema[c].name, df.schema[c].dataType, True) for c in by), *fields])
 
@@ -269,9 +286,9 @@ def percentiles(states: DataFrame, by: Sequence[str], ps: Sequence[float], answe
         for batch in batches:
             if not batch.num_rows:
                 continue
-            counts, sketches = _split(batch)
-            values = [quantile(s, n, p) for s, n in zip(sketches, counts.tolist(), strict=True) for p in ps]
-            errors = np.array([rank_error(s.spent, n, together, delta) for s, n in zip(sketches, counts.tolist(), strict=True)])
+            counts = batch.column("n").to_numpy()
+            values = _quantiles(batch, ps).ravel()
+            errors = np.array([rank_error(s, n, together, delta) for s, n in zip(batch.column("spent").to_pylist(), counts.tolist(), strict=True)])
             rows = pa.array(np.repeat(np.arange(batch.num_rows), len(ps)))
             arrays = [*(batch.column(i).take(rows) for i in range(width)), pa.array(np.tile(np.array(ps, float), batch.num_rows)), pa.array(values, pa.float64()), pa.array(np.repeat(counts, len(ps))), pa.array(np.repeat(errors, len(ps)))]
             yield pa.RecordBatch.from_arrays([a.cast(f.type) for a, f in zip(arrays, arrow_schema, strict=True)], schema=arrow_schema)

@@ -113,3 +113,14 @@ def test_edges(spark, table):
     assert q.percentiles(q.merge_states(q.partial_states(clash, ["g"], "v"), ["g"]), ["g"], [0.5]).count() == 3
     with pytest.raises(ValueError):
         q.percentiles(q.partial_states(table, ["g"], "v"), ["g"], [1.5])
+
+
+def test_all_states_of_a_batch_at_once(table):
+    rng = np.random.default_rng(3)
+    sketches = [q.build(rng.integers(0, 40, n).astype(float), 16, rng) for n in (1, 5, 16, 17, 1000, 2, 20000)]
+    counts = [1, 5, 16, 17, 1000, 2, 20000]
+    schema = q.to_arrow_schema(q._schema(table, [], *q._STATE))
+    batch = q._state_batch([], sketches, counts, schema)
+    ps = [0.0, 0.001, 0.3, 0.5, 0.999, 1.0]
+    assert q._quantiles(batch, ps).tolist() == [[q.quantile(s, n, p) for p in ps] for s, n in zip(sketches, counts, strict=True)]
+    assert q._quantiles(batch.slice(3, 3), ps).tolist() == [[q.quantile(s, n, p) for p in ps] for s, n in zip(sketches[3:6], counts[3:6], strict=True)]
