@@ -13,7 +13,6 @@ What is kept of the counts is a row per (partition, heavy key), never one per (p
 from __future__ import annotations
 
 from collections.abc import Iterator, Mapping, Sequence
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -38,10 +37,6 @@ def _stable(df: DataFrame) -> DataFrame:
     return df if only_scans(df) else materialize(df, "chunk-input")
 
 
-def _same(keys: Sequence[str], others: Sequence[str]) -> Column:
-    return reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(o)) for k, o in zip(keys, others, strict=True)])
-
-
 class KeyOffsets:
     """Heavy keys of ``df`` and the first position of every (input partition, heavy key) in the order of ``keys``.
 
@@ -56,10 +51,11 @@ class KeyOffsets:
             raise ValueError("chunk_rows must be positive")
         spark = df.sparkSession
         self.keys, self.chunk_rows, self.df = list(keys), chunk_rows, _stable(df)
-        self._names = [f"_key{i}" for i in range(len(keys))]
-        totals = self.df.groupBy(*self.keys).agg(F.count(F.lit(1)).alias("_n"))
-        kept = totals if every_key else totals.where(F.col("_n") > chunk_rows)
-        self.heavy = materialize(kept.select(*[F.col(k).alias(n) for k, n in zip(self.keys, self._names, strict=True)], "_n"), "heavy-keys")
+        self._name = "_hash"
+        while self._name in df.columns:
+            self._name += "_"
+        totals = self.df.groupBy(self._hash().alias(self._name)).agg(F.count(F.lit(1)).alias("_n"))
+        self.heavy = materialize(totals if every_key else totals.where(F.col("_n") > chunk_rows), "heavy-keys")
         self.every_key = every_key
         self.n_heavy, rows = self._size()
         if not every_key and rows > chunk_rows * MAX_CHUNKS:
@@ -84,8 +80,12 @@ class KeyOffsets:
         self.path = new_path(spark, "key-offsets")
         first.repartitionByRange("_pid").sortWithinPartitions("_pid").write.options(**{"maxRecordsPerFile": _FILE_ROWS, "parquet.block.row.count.limit": 65_536}).parquet(self.path)
 
+    def _hash(self) -> Column:
+        """Keys are picked by a hash, a number: a small key that shares it with a heavy one is numbered too, which does no harm."""
+        return F.xxhash64(*self.keys)
+
     def _size(self) -> tuple[int, int]:
-        """Heavy keys and their rows."""
+        """Hashes of heavy keys and their rows."""
         return tuple(self.heavy.agg(F.count(F.lit(1)), F.coalesce(F.sum("_n"), F.lit(0))).first())
 
     def rows_of(self, heavy: bool, columns: Sequence[str] | None = None) -> DataFrame:
@@ -94,7 +94,7 @@ class KeyOffsets:
         if not self.n_heavy or self.every_key:
             return rows if heavy == self.every_key else rows.where(F.lit(False))
         # There are MAX_CHUNKS of them at most.
-        return rows.join(F.broadcast(self.heavy.select(*self._names)), _same(self.keys, self._names), "left_semi" if heavy else "left_anti")
+        return rows.join(F.broadcast(self.heavy.select(self._name)), self._hash() == F.col(self._name), "left_semi" if heavy else "left_anti")
 
     def number(self) -> DataFrame:
         """The rows of heavy keys with _pos, their place from 0 in the order of keys, and _chunk = _pos div chunk_rows.

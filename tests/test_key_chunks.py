@@ -79,7 +79,8 @@ def test_several_keys_and_ordered_states(spark):
 def test_empty_table_and_clashing_names(spark):
     empty = spark.createDataFrame([], "key string, v long")
     assert chunked_aggregate(empty, ["key"], {"n": F.count(F.lit(1))}, {"n": F.sum("n")}).collect() == []
-    clash = spark.createDataFrame([("a", 1, 2), ("a", 1, 3)], "key string, _pos long, _chunk long")
+    clash = spark.createDataFrame([("a", 1, 2), ("a", 1, 3)], "key string, _pos long, _hash long").withColumn("_chunk", F.lit(0))
+    assert [r.n for r in chunked_aggregate(clash, ["key"], {"n": F.count(F.lit(1))}, {"n": F.sum("n")}, 1).collect()] == [2]
     assert [r.n for r in chunked_aggregate(clash, ["key"], {"n": F.count(F.lit(1))}, {"n": F.sum("n")}).collect()] == [2]
     with pytest.raises(ValueError):
         KeyOffsets(empty, [])
