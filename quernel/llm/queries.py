@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quernel.llm import quantiles
 from quernel.llm.bpe import count_tokens, encode_column
-from quernel.llm.mixing import Plan, Target, measure, mix, plan_mix, report
+from quernel.llm.mixing import Plan, Target, mix, plan_of, report
 from quernel.llm.repetition import STRATA, Cutoff, cutoff_report, labelled_holdout, repetition, risk_controlled_cutoffs, screened
 from quernel.llm.top_n import cluster, top_n
 from quernel.plans.scratch import materialize
@@ -110,8 +110,7 @@ def _sized(spark: SparkSession, sf_dir: str, tokenizers: str) -> tuple[DataFrame
 
 def p8_found(spark: SparkSession, sf_dir: str, tokenizers: str = TOKENIZERS) -> DataFrame:
     documents, targets = _sized(spark, sf_dir, tokenizers)
-    _, by_pattern, total = measure(documents, targets)
-    plan = plan_mix(by_pattern, targets, total)
+    _, plan, _ = plan_of(documents, targets)
     short = [(s,) for s, quota in plan.quotas.items() if plan.reached[s] < quota]
     return spark.createDataFrame(short, "source string")
 
@@ -130,6 +129,21 @@ def p8_shares(spark: SparkSession, sf_dir: str, tokenizers: str = TOKENIZERS) ->
     return report(*_mix(spark, sf_dir, tokenizers))
 
 
+#: Sets of documents by length in characters, with weight and repeats: every document is in one of them and in a source.
+LENGTHS = (("short", 0.25, 2), ("long", 0.3, 1))
+SHORT_CHARS = 120
+
+
+def p8_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The size of all documents and of the mix, in characters, where sources overlap with sets by length."""
+    documents = _table(spark, sf_dir, "documents").where(F.length("text") > 0)
+    n = F.length("text").cast("long")
+    sources = F.array_compact(F.array(F.col("source"), F.when(n < SHORT_CHARS, "short").otherwise("long")))
+    targets = [Target(r["source"], (r["target_weight"] or 0.0) / 2, r["max_repeats"] or 0) for r in _table(spark, sf_dir, "mix_targets").collect()]  # a row per source of the mix
+    _, plan, _ = plan_of(documents.select("doc_id", sources.alias("sources"), n.alias("n_tokens")), targets + [Target(*x) for x in LENGTHS])
+    return spark.createDataFrame([(plan.total, sum(plan.reached.values()))], "total long, routed long")
+
+
 def p9_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repetition(_table(spark, sf_dir, "documents"), ["doc_id"], "text").select("doc_id", "n_units", "n_repeated", "share")
 
@@ -157,7 +171,7 @@ def p9_cutoffs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cutoff_report(documents, "doc_id", "text", _cutoffs(documents), LEAST_SHARE, HOLDOUT)
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p3_percentiles, p3_loads, p3_direct, p3_within_bound, p7_ids, p8_found, p8_mix, p8_shares, p9_found, p9_shares, p9_cutoffs)}
+QUERIES = {f.__name__: f for f in (p1_found, p3_percentiles, p3_loads, p3_direct, p3_within_bound, p7_ids, p8_found, p8_mix, p8_shares, p8_overlap, p9_found, p9_shares, p9_cutoffs)}
 
 _REPETITION = r"""
 WITH w AS (SELECT doc_id, text, length(text) AS n_chars, regexp_extract_all(lower(text), '\p{L}+') AS words FROM documents),
@@ -186,6 +200,20 @@ FROM g, (SELECT unnest([{', '.join(f'CAST({p} AS DOUBLE)' for p in PERCENTILES)}
 SELECT s.load_id, b.category, p.percentile, COUNT(*) AS n_values, TRUE AS within
 FROM fmcg_sales s JOIN brands b ON s.brand = b.brand, (SELECT unnest([{', '.join(f'CAST({p} AS DOUBLE)' for p in PERCENTILES)}]) AS percentile) p
 WHERE s.units_sold BETWEEN 0 AND 20000 AND b.category IS NOT NULL GROUP BY GROUPING SETS ((s.load_id, b.category, p.percentile), (b.category, p.percentile))""",
+    # The smallest cut over all sets of sources, which the largest flow equals.
+    "p8_overlap": f"""
+WITH t AS (SELECT row_number() OVER (ORDER BY source) - 1 AS place, * FROM (SELECT source, CAST(target_weight AS DECIMAL(18,9)) / 2 AS w, max_repeats AS r FROM mix_targets
+  UNION ALL {' UNION ALL '.join(f"SELECT '{s}', {w}, {r}" for s, w, r in LENGTHS)})),
+d AS (SELECT doc_id, length(text) AS n, source, CASE WHEN length(text) < {SHORT_CHARS} THEN 'short' ELSE 'long' END AS kind FROM documents WHERE length(text) > 0),
+q AS (SELECT t.*, ceil(CAST(w * (SELECT SUM(n) FROM d) AS DECIMAL(30,9))) AS quota FROM t),
+p AS (SELECT row_number() OVER () AS p, source, kind, SUM(n) AS n FROM d GROUP BY source, kind),
+a AS (SELECT p.p, p.n, q.place, p.n * q.r AS room FROM p JOIN q ON q.source = p.source OR q.source = p.kind WHERE q.w > 0),
+m AS (SELECT p, MAX(room) AS most FROM a GROUP BY p),
+u AS (SELECT unnest(range(0, CAST(pow(2, (SELECT COUNT(*) FROM t)) AS BIGINT))) AS subset),
+c AS (SELECT subset, p, SUM(CASE WHEN (subset >> place) & 1 = 1 THEN room ELSE 0 END) AS room FROM u, a GROUP BY subset, p),
+f AS (SELECT subset, SUM(LEAST(c.room, m.most)) AS flow FROM c JOIN m ON c.p = m.p GROUP BY subset),
+k AS (SELECT f.subset, f.flow + (SELECT COALESCE(SUM(quota), 0) FROM q WHERE (f.subset >> place) & 1 = 0 AND w > 0) AS cut FROM f)
+SELECT CAST((SELECT SUM(n) FROM d) AS BIGINT) AS total, CAST(MIN(cut) AS BIGINT) AS routed FROM k""",
     "p9_found": _REPETITION + "SELECT doc_id FROM d WHERE n_chars >= 80 AND share >= 0.35",
     "p9_shares": _REPETITION + "SELECT doc_id, n_units, n_repeated, share FROM d",
 }

@@ -4,8 +4,7 @@ The network has an arc into each pattern for every use of its tokens, use j at c
 its sources, and an arc from each source to the sink. What the patterns can supply together is a polymatroid, on which
 costs that only rise with the use are least if all first uses are exhausted before any second one, and so on: so the
 flow is made level by level, each a maximum flow that goes on from the last, and a pattern that cannot send all of a
-level never sends more. Levels that every pattern can send straight to a source with room are taken in one step, however
-many they are. Paths are searched on the graph of sources alone: from a to b leads what patterns could move from a to b.
+level never sends more. Levels that all patterns can still send are taken many at a time, by doubling and halving. Paths are searched on the graph of sources alone: from a to b leads what patterns could move from a to b.
 
 Patterns are held in blocks of numpy arrays. ``LocalBlocks`` has them in memory; ``SparkBlocks`` in a written table, for
 more patterns than a driver should hold: each step is then a job, and only sums of a block come back.
@@ -27,12 +26,11 @@ class Block:
     """Patterns with their sizes, the uses that each source allows (0: no member), and the flow between them."""
 
     def __init__(self, size: np.ndarray, uses: np.ndarray, quotas: np.ndarray):
+        """Sizes are positive; the quotas add up to less than 2**62."""
         self.size = size.astype(np.int64)
-        # No source takes more than its quota, so more uses than fill it are not told apart.
-        enough = quotas[None, :] // np.maximum(self.size, 1)[:, None] + 1
-        uses = np.minimum(uses, enough)
-        self.room = self.size[:, None] * uses
-        self.most = self.size * uses.max(axis=1, initial=0)
+        # No source takes more than its quota, nor all together more than theirs: further uses are not told apart.
+        self.room = self.size[:, None] * np.minimum(uses, quotas[None, :] // self.size[:, None] + 1)
+        self.most = self.size * np.minimum(uses.max(axis=1, initial=0), quotas.sum() // self.size + 1)
         self.flow = np.zeros_like(self.room)
         self.supply = np.zeros_like(self.size)
         self.open = self.most > 0
@@ -52,29 +50,9 @@ class Block:
         self.open &= (used == self.supply) & (used < self.most)
         self.supply = np.minimum(self.supply, used)
 
-    def _direct(self, order: Sequence[int]) -> tuple[np.ndarray, np.ndarray]:
-        """For open patterns: the first source of ``order`` with room for a level, and the whole levels that fit (0: none)."""
-        rows = np.flatnonzero(self.open)
-        levels = (self.room[rows] - self.flow[rows]) // self.size[rows, None]
-        ordered = levels[:, order] if len(order) else np.zeros((len(rows), 1), np.int64)
-        first = (ordered > 0).argmax(axis=1)
-        fit = np.minimum(ordered[np.arange(len(rows)), first], (self.most[rows] - self.supply[rows]) // self.size[rows])
-        return np.array(order, np.int64)[first] if len(order) else first, fit
-
-    def direct(self, order: Sequence[int]) -> tuple[int, np.ndarray]:
-        """(levels that all open patterns can send at once, tokens of one level by source)."""
-        to, fit = self._direct(order)
-        rows = np.flatnonzero(self.open)
-        amounts = np.zeros(self.room.shape[1], np.int64)
-        np.add.at(amounts, to, self.size[rows])
-        return (int(fit.min()) if len(fit) else 2**62), amounts
-
-    def send(self, order: Sequence[int], levels: int) -> None:
-        to, _ = self._direct(order)
-        rows = np.flatnonzero(self.open)
-        self.flow[rows, to] += levels * self.size[rows]
-        self.raise_supply(levels)
-        self.close()
+    def is_full(self) -> bool:
+        """Whether all open patterns have sent what they may."""
+        return not self.left()[self.open].any()
 
     def reach(self) -> np.ndarray:
         """By source, the unused supply that could enter it."""
@@ -119,6 +97,13 @@ class LocalBlocks:
         for i, b in enumerate(self.blocks):
             f(b, i)
 
+    def state(self) -> list[tuple[np.ndarray, np.ndarray]]:
+        return [(b.flow.copy(), b.supply.copy()) for b in self.blocks]
+
+    def restore(self, state: list[tuple[np.ndarray, np.ndarray]]) -> None:
+        for b, (flow, supply) in zip(self.blocks, state, strict=True):
+            b.flow, b.supply = flow, supply
+
 
 class SparkBlocks:
     """Blocks in a written table (block int, state binary). A failed step leaves the table of the step before."""
@@ -127,6 +112,7 @@ class SparkBlocks:
 
     def __init__(self, table: DataFrame):
         self.table = table
+        self.places = {b: i for i, b in enumerate(sorted(r[0] for r in table.select("block").collect()))}  # a number a block
 
     def report(self, f: Callable[[Block], object]) -> list:
         def reported(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -139,17 +125,25 @@ class SparkBlocks:
         return [pickle.loads(bytes(r["state"])) for r in sorted(rows, key=lambda r: r["block"])]
 
     def apply(self, f: Callable[[Block, int], None]) -> None:
+        places = self.places
+
         def applied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 out = []
                 for i, s in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                     b = pickle.loads(s)
-                    f(b, i)
+                    f(b, places[i])
                     out.append(pickle.dumps(b))
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], names=["block", "state"])
 
         self.table = materialize(self.table.mapInArrow(applied, self.SCHEMA), "blocks")
 
+    def state(self) -> DataFrame:
+        return self.table
+
+    def restore(self, state: DataFrame) -> None:
+        self.table = state
+
 
 def _allot(parts: Sequence[int], amount: int) -> list[int]:
     return _first(np.array(parts, np.int64), amount).tolist()
@@ -157,22 +151,23 @@ def _allot(parts: Sequence[int], amount: int) -> list[int]:
 
 def route(blocks: LocalBlocks | SparkBlocks, quotas: Sequence[int]) -> np.ndarray:
     """Make the flow of ``blocks``; returns what each source gets."""
-    n = len(quotas)
     left = np.array(quotas, np.int64)
-    if not n:
-        return left
+    levels, growing = 1, True
     while left.any() and any(blocks.report(Block.is_open)):
-        order = [int(s) for s in np.argsort(-left, kind="stable") if left[s] > 0]
-        plans = blocks.report(lambda b, order=order: b.direct(order))
-        need = sum(a for _, a in plans)
-        levels = min([fit for fit, _ in plans] + [int(left[s] // need[s]) for s in range(n) if need[s]])
-        if levels > 0:
-            blocks.apply(lambda b, i, order=order, levels=levels: b.send(order, levels))
-            left -= levels * need
-            continue
-        blocks.apply(lambda b, i: b.raise_supply(1))
+        state, before = blocks.state(), left.copy()
+        blocks.apply(lambda b, i, levels=levels: b.raise_supply(levels))
         _fill(blocks, left)
-        blocks.apply(lambda b, i: b.close())
+        full = all(blocks.report(Block.is_full))
+        if not full and levels > 1:  # somewhere on the way a pattern is done
+            blocks.restore(state)
+            left[:] = before
+            growing = False
+        else:
+            blocks.apply(lambda b, i: b.close())
+        if levels == 1 and not full:
+            growing = True
+        else:
+            levels = levels * 2 if growing else max(1, levels // 2)
     return np.array(quotas, np.int64) - left
 
 
@@ -187,7 +182,6 @@ def _push(blocks, s: int, most: int) -> int:
 
 def _fill(blocks, left: np.ndarray) -> None:
     """A maximum flow from the present one: straight, then along shortest paths over sources. ``left`` is updated."""
-    n = len(left)
     for s in np.argsort(-left, kind="stable").tolist():
         if left[s] > 0:
             left[s] -= _push(blocks, s, int(left[s]))
@@ -209,7 +203,6 @@ def _fill(blocks, left: np.ndarray) -> None:
                 del rows[a]
             else:
                 rows[a][touched] = sum(blocks.report(lambda x, a=a: x.moves(a, touched)))
-    assert n == len(left)
 
 
 def _path(blocks, rows: dict[int, np.ndarray], reach: np.ndarray, left: np.ndarray) -> list[int] | None:

@@ -1,10 +1,12 @@
 import itertools
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
 
-from quernel.llm.mixing import Target, measure, mix, plan_mix, report
+from quernel.llm import mixing, routing
+from quernel.llm.mixing import Target, mix, plan_mix, plan_of, report
 
 
 def cost_of(plan, sizes):
@@ -104,4 +106,70 @@ def test_edges(spark):
     one = spark.createDataFrame([(1, ["a"], 10)], "id long, sources array<string>, n_tokens long")
     assert [tuple(r) for r in mix(one, [Target("a", 1.0, 1)], "id")[0].collect()] == [(1, "a", 1, 10)]
     with pytest.raises(ValueError):
-        measure(df, [Target("a", 1.0, 1)] * 2)
+        plan_of(df, [Target("a", 1.0, 1)] * 2)
+
+
+def test_quotas_are_of_decimal_weights():
+    for weight, quota in ((0.07, 7), (0.14, 14), (0.28, 28), (0.071, 8)):
+        plan = plan_mix({("a",): 7 if weight == 0.07 else 100}, [Target("a", weight, 1)], 100)
+        assert plan.quotas == {"a": quota} == plan.reached or plan.quotas["a"] == 8
+
+
+def test_many_repeats_take_few_steps():
+    plan = plan_mix({("a",): 3, ("a", "b"): 5}, [Target("a", 0.9, 10**9), Target("b", 0.1, 10**9)], 10**9)
+    assert plan.reached == plan.quotas == {"a": 9 * 10**8, "b": 10**8}
+    by_pattern = {p: sum(x for (q, _), x in plan.routed.items() if q == p) for p in ((("a",)), ("a", "b"))}
+    assert abs(by_pattern["a",] / 3 - by_pattern["a", "b"] / 5) <= 1  # as often one as the other
+
+
+def many_patterns(n, n_sources, seed=0):
+    r = random.Random(seed)
+    names = [f"s{i:02d}" for i in range(n_sources)]
+    sizes = {}
+    while len(sizes) < n:
+        sizes[tuple(sorted(r.sample(names, r.randint(1, 6))))] = r.randint(1, 1000)
+    weights = [r.random() ** 3 for _ in names]
+    return sizes, [Target(s, round(w / sum(weights), 6), r.randint(1, 4)) for s, w in zip(names, weights, strict=True)]
+
+
+def test_twenty_thousand_patterns():
+    sizes, targets = many_patterns(20_000, 60)
+    start = time.perf_counter()
+    plan = plan_mix(sizes, targets, sum(sizes.values()))
+    assert time.perf_counter() - start < 60
+    caps = {t.source: t.max_repeats for t in targets}
+    assert all(x <= caps[s] * sizes[p] and s in p for (p, s), x in plan.routed.items())
+    for t in targets:
+        assert plan.reached[t.source] == sum(x for (_, s), x in plan.routed.items() if s == t.source) <= plan.quotas[t.source]
+
+
+def test_flow_by_jobs_equals_that_on_the_driver(spark, monkeypatch):
+    rows, df = documents(spark, 400)
+    df = df.drop("pattern", "uses")
+    targets = [Target("big", 0.5, 1), Target("small", 0.35, 4), Target("tiny", 0.1, 2)]
+    mixed, local = mix(df, targets, "id")
+    want = sorted(map(tuple, mixed.collect()))
+    monkeypatch.setattr(mixing, "LOCAL_PATTERNS", 1)
+    monkeypatch.setattr(mixing, "BLOCK_PATTERNS", 2)
+    selected, plan = mix(df, targets, "id")
+    assert plan.routed is None and plan.quotas == local.quotas and sum(plan.reached.values()) == sum(local.reached.values())
+    got = selected.collect()
+    tokens = {i: n for i, _, n in rows}
+    for s, reached in plan.reached.items():
+        assert abs(sum(r.uses * tokens[r.id] for r in got if r.source == s) - reached) <= 2000
+    assert len(got) and len(want)
+
+
+def test_blocks_give_the_flow_of_one_block():
+    for seed in range(8):
+        sizes, targets = many_patterns(60, 7, seed)
+        total = sum(sizes.values())
+        plan = plan_mix(sizes, targets, total)
+        quotas = list(plan.quotas.values())
+        live = [t for t in targets if t.weight > 0]
+        names = list(sizes)
+        parts = [mixing._block(names[i::3], [sizes[p] for p in names[i::3]], live, quotas) for i in range(3)]
+        reached = routing.route(routing.LocalBlocks(parts), quotas)
+        assert reached.sum() == sum(plan.reached.values())
+        routed = {(names[i::3][a], live[b].source): int(parts[i].flow[a, b]) for i in range(3) for a, b in zip(*parts[i].flow.nonzero(), strict=True)}
+        assert cost_of(type(plan)(0, {}, {}, routed), sizes) == cost_of(plan, sizes)
