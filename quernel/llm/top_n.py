@@ -27,9 +27,10 @@ from quernel.plans.scratch import new_path, open_filesystem
 
 @dataclass(frozen=True)
 class Clustered:
-    """A written table of items. ``schema`` has the group columns, the score and the tie columns."""
+    """A written table of items and the index of its footers. ``schema`` has the group columns, the score and the tie columns."""
 
     path: str
+    index: str
     schema: T.StructType
     group: tuple[str, ...]
     score: str
@@ -54,7 +55,9 @@ def cluster(items: DataFrame, group: Sequence[str], score: str, tie: Sequence[st
     # Equal rows are in one range, so dropping repeated ones needs no second shuffle.
     ranged = kept.repartitionByRange(*order).dropDuplicates().sortWithinPartitions(*order)
     ranged.write.option("parquet.block.row.count.limit", row_group_rows).parquet(path)
-    return Clustered(path, kept.schema, tuple(group), score, tuple(tie))
+    table = Clustered(path, f"{path}-footers", kept.schema, tuple(group), score, tuple(tie))
+    _footers(items.sparkSession, table).write.parquet(table.index)
+    return table
 
 
 _ROW_GROUP = [T.StructField("_file", T.StringType()), T.StructField("_row_group", T.IntegerType()), T.StructField("_rows", T.LongType()), T.StructField("_single", T.BooleanType())]
@@ -63,11 +66,20 @@ _ROW_GROUP = [T.StructField("_file", T.StringType()), T.StructField("_row_group"
 def row_groups(spark: SparkSession, table: Clustered) -> DataFrame:
     """A row per row group: _file, _row_group, _rows, _low and _high score, _single and, where that is true, its group.
 
-    Scores are NULL where the footer has no statistics. Footers are read in parallel; no data is.
+    Scores are NULL where the footer has no statistics. Read from the index that ``cluster`` wrote.
     """
+    return spark.read.schema(_index_schema(table)).parquet(table.index)
+
+
+def _index_schema(table: Clustered) -> T.StructType:
     score = table.schema[table.score].dataType
     fields = [*_ROW_GROUP, T.StructField("_low", score), T.StructField("_high", score), *(table.schema[g] for g in table.group)]
-    schema = T.StructType([T.StructField(f.name, f.dataType, True) for f in fields])
+    return T.StructType([T.StructField(f.name, f.dataType, True) for f in fields])
+
+
+def _footers(spark: SparkSession, table: Clustered) -> DataFrame:
+    """``row_groups`` from the files' footers, which are read in parallel; no data is."""
+    schema = _index_schema(table)
     arrow_schema = to_arrow_schema(schema)
     n_group = len(table.group)
 
@@ -114,6 +126,14 @@ def needed_row_groups(spark: SparkSession, table: Clustered, n: int) -> DataFram
     return joined.where(F.col("_bound").isNull() | F.col("_high").isNull() | (F.col("_high") >= F.col("_bound"))).select(found.columns)
 
 
+def skipped(spark: SparkSession, table: Clustered, n: int) -> DataFrame:
+    """One row: row groups and rows of the table, and those that the statistics of all files rule out for the top ``n``."""
+    kept = row_groups(spark, table).select("_rows", F.lit(0).alias("_read")).unionByName(needed_row_groups(spark, table, n).select("_rows", F.lit(1).alias("_read")))
+    total = lambda sign, of: F.coalesce(F.sum(F.when(F.col("_read") == 0, of).otherwise(of * sign)), F.lit(0))
+    one, rows = F.lit(1), F.col("_rows")
+    return kept.agg(total(0, one).alias("row_groups"), total(0, rows).alias("rows"), total(-1, one).alias("skipped_row_groups"), total(-1, rows).alias("skipped_rows"))
+
+
 def _starts(table: pa.Table, columns: Sequence[str]) -> np.ndarray:
     """The first row of each group of equal neighbours."""
     change = np.zeros(table.num_rows, bool)

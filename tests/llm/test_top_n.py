@@ -4,7 +4,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from quernel.llm.top_n import candidates, cluster, needed_row_groups, row_groups, top_n
+from quernel.llm.top_n import candidates, cluster, needed_row_groups, row_groups, skipped, top_n
 
 SCHEMA = "g string, h long, score double, id long"
 
@@ -42,6 +42,10 @@ def test_skips_row_groups_and_keeps_equal_scores(spark):
     assert needed.where("g = 'b' AND _single").count() >= 4  # all scores are equal: none is strictly below
     assert candidates(spark, table, 5).count() < 200
     assert needed_row_groups(spark, table, 10**6).count() == found.count()
+    r = skipped(spark, table, 5).first()
+    assert (r.row_groups, r.rows) == (found.count(), 6500) and r.skipped_row_groups == found.count() - needed.count() and r.skipped_rows > 5000
+    assert tuple(skipped(spark, table, 10**6).first())[2:] == (0, 0)
+    assert "MapInArrow" not in needed._jdf.queryExecution().toString()
 
 
 def test_empty_and_extra_columns(spark):
