@@ -83,7 +83,8 @@ def parallel_hash_aggregate(df: DataFrame, keys: Sequence[str], aggregates: Mapp
     rows = df if condition is None else df.where(condition)
     used = [*keys, *dict.fromkeys(c for _, c in aggregates.values() if c is not None and c not in keys)]
     rows = rows.select([F.col(f"`{c}`") for c in used])
-    rows = rows.repartition(degree) if rows._jdf.queryExecution().toRdd().getNumPartitions() < degree else rows.coalesce(degree)
+    # By number of the row: spread evenly whatever the values, and without the sort of a round robin.
+    rows = rows.repartition(degree, F.monotonically_increasing_id()) if rows._jdf.queryExecution().toRdd().getNumPartitions() < degree else rows.coalesce(degree)
     return hash_aggregate(rows, keys, aggregates, double_scale)
 
 

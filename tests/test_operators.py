@@ -121,4 +121,4 @@ def test_degree_is_kept(spark):
     df = spark.range(0, 100, 1, 5).selectExpr("id % 3 AS k", "id AS v")
     for degree in (2, 5, 12):
         plan = ops.parallel_hash_aggregate(df, ["k"], {"s": ("SUM", "v")}, degree)._jdf.queryExecution().toString()
-        assert ("RoundRobinPartitioning(12)" in plan) == (degree == 12) and ("Coalesce 2" in plan) == (degree == 2)
+        assert (", 12), REPARTITION_BY_NUM" in plan) == (degree == 12) and ("Coalesce 2" in plan) == (degree == 2)
