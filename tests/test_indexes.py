@@ -124,6 +124,7 @@ class _Known(TableStats):
 
 
 def test_explain_golden(spark):
+    # Table, key, counts and plans of the published examples, which EXPLAIN has to give.
     e = Engine(spark)
     t = e.catalog.add_rows("fmcg_sales", [("MI-006", 0)], "sku string, promotion_flag bigint")
     for column in ("sku", "promotion_flag"):
